@@ -85,7 +85,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text), loss_text, formatted: parsed from the formatted strings alone. A placeholder
     comes back as itself."""
-    blocks = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 2147483647)
+    blocks = F.filter(F.split("formatted", r"<\|turn\|>"), lambda _, i: i > 0)
     turns = F.transform(blocks, _turn)
     loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))))
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
