@@ -1,7 +1,7 @@
 """Byte-level BPE by a rank queue: a hierarchical bitmap of merge ranks over buckets of linked-list positions.
 
 The symbols of a pre-token form a linked list. For every adjacent pair that the vocabulary can merge, the left
-position waits in the bucket of the pair's rank. A three-level bitmap marks ranks whose bucket isn't empty; three
+position waits in the bucket of the pair's rank. A two-level bitmap marks ranks whose bucket isn't empty; two
 find-first-set steps give the lowest one, and its leftmost position is merged. A position whose pair has changed
 meanwhile is stale and skipped. A pre-token of n bytes takes O(n log n) steps, however long it is.
 
@@ -12,7 +12,8 @@ empty table gives none; other columns are ignored. No row depends on another, so
 from __future__ import annotations
 
 import base64
-import hashlib
+import sys
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -30,101 +31,97 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank. Ranks are under 2**18: three levels of 64-way words."""
-
-    def __init__(self):
-        self.top, self.mid, self.low, self.buckets = 0, {}, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, high = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.mid[high] = self.mid.get(high, 0) | 1 << (word & 63)
-        self.top |= 1 << high
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position; (-1, -1) when nothing waits."""
-        if not self.top:
-            return -1, -1
-        high = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[high]
-        word = high << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = word << 6 | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            low &= low - 1
-            self.low[word] = low
-            if not low:
-                mid &= mid - 1
-                self.mid[high] = mid
-                if not mid:
-                    self.top &= self.top - 1
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token. A pre-token that is a token itself is that token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before, waiting = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    get, queue = ranks.get, RankQueue()
-    push, pop = queue.push, queue.pop
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2], -1)
-        if rank >= 0:
-            waiting[i] = rank
-            push(rank, i)
-    rank, i = pop()
-    while rank >= 0:
-        if waiting[i] == rank:
+class Merger:
+    """Merges pre-tokens. The queue's two levels of 512-way words and its buckets are kept between calls, empty."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.words = [0] * ((max(ranks.values()) >> 9) + 1)
+        self.buckets: list[list[int]] = [[] for _ in range(max(ranks.values()) + 1)]
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+    def merge(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token. A pre-token that is a token itself is that token."""
+        ranks, n = self.ranks, len(piece)
+        get = ranks.get
+        whole = get(piece)
+        if whole is not None:
+            return [whole]
+        words, buckets, pairs, top = self.words, self.buckets, self.pairs, 0
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        waiting.append(-1)
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
+                bucket = buckets[rank]
+                if not bucket:
+                    words[rank >> 9] |= 1 << (rank & 511)
+                    top |= 1 << (rank >> 9)
+                bucket.append(i)  # in order, so a heap
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            bit = word & -word
+            rank = at << 9 | bit.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                words[at] = word = word ^ bit
+                if not word:
+                    top &= top - 1
+            if waiting[i] != rank:
+                continue  # stale
             j = after[i]
-            k = after[j]
-            after[i], waiting[j] = k, -1
+            k = after[i] = after[j]
+            waiting[j] = -1
             if k < n:
                 before[k] = i
-                waiting[i] = found = get(piece[i : after[k]], -1)
-                if found >= 0:
-                    push(found, i)
+                found = get(piece[i : after[k]], -1)
             else:
-                waiting[i] = -1
+                found = -1
+            waiting[i] = found
+            if found >= 0:
+                bucket = buckets[found]
+                if not bucket:
+                    words[found >> 9] |= 1 << (found & 511)
+                    top |= 1 << (found >> 9)
+                heappush(bucket, i)
             h = before[i]
             if h >= 0:
                 waiting[h] = found = get(piece[h:k], -1)
                 if found >= 0:
-                    push(found, h)
-        rank, i = pop()
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+                    bucket = buckets[found]
+                    if not bucket:
+                        words[found >> 9] |= 1 << (found & 511)
+                        top |= 1 << (found >> 9)
+                    heappush(bucket, h)
+        out, i = [], 0
+        while i < n:
+            j = after[i]
+            out.append(ranks[piece[i:j]])
+            i = j
+        return out
 
 
 class ByteBPE:
     """Encodes and decodes with the ranks at ``path``; ``pattern`` cuts texts into pre-tokens."""
 
-    def __init__(self, path: str, pattern: str, cap: int = 300_000):
+    def __init__(self, path: str, pattern: str, cap: int = 400_000):
         import regex
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise NotImplementedError("ids are made from arrays of little-endian 32-bit numbers")
+
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pre, self.cap = {}, cap
+        self.pre, self.cap, self.merge = {}, cap, Merger(self.ranks).merge
         self.units = UnitCache(self._encode_many, cap)
 
     def _encode_many(self, units: list[str]) -> list[bytes]:
-        pre, ranks, out = self.pre, self.ranks, []
+        pre, merge, out = self.pre, self.merge, []
         if len(pre) > self.cap:
             pre.clear()
         for unit in units:
@@ -132,7 +129,7 @@ class ByteBPE:
             for token in self.find(unit):
                 ids = pre.get(token)
                 if ids is None:
-                    ids = np.array(merge(token.encode(), ranks), "<u4").tobytes()
+                    ids = array("I", merge(token.encode())).tobytes()
                     if len(token) < 64:
                         pre[token] = ids
                 parts.append(ids)
@@ -174,6 +171,3 @@ def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what ``encode_documents`` gives."""
     return encoded.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

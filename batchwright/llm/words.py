@@ -7,11 +7,18 @@ and its units encoded one by one; the ids are those of the whole text.
 
 from __future__ import annotations
 
+from itertools import islice
+
 
 def units_of(text: str) -> list[str]:
     """Cut ``text`` at the safe spaces. Every unit but the first stands for itself with a space before it."""
     parts = text.split(" ")
-    if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+    runs = text.split()
+    # Each white space stands alone between other characters: as many runs of others as single spaces and breaks, and one.
+    if len(runs) == len(parts) + text.count("\n") and parts[0] and parts[-1]:
+        if text[0] != "\n" and text[-1] != "\n":
+            return parts
+    elif len(runs) == len(parts) and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
         return parts
     out = [parts[0]]
     for p in parts[1:]:
@@ -23,28 +30,47 @@ def units_of(text: str) -> list[str]:
     return out
 
 
+class _Known(dict):
+    """Ids of units; a unit that isn't known yet is noted and gives None."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[str, None] = {}
+
+    def __missing__(self, unit: str) -> None:
+        self.new[unit] = None
+
+
 class UnitCache:
     """Little-endian 32-bit ids of units. ``encode_many`` gives them for units that aren't known yet.
 
-    When more than ``cap`` units would be held, those that the current texts don't use are let go.
+    No more than about ``cap`` units are held; those known for longest go first.
     """
 
-    def __init__(self, encode_many, cap: int = 400_000):
-        self.encode_many, self.cap, self.known = encode_many, cap, {}
+    def __init__(self, encode_many, cap: int = 700_000):
+        self.encode_many, self.cap, self.known = encode_many, cap, _Known()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [units_of(t) for t in texts]
-        need: set[str] = set()
-        for units in split:
-            need.update(units[1:])
-        new = list(need.difference(self.known))
-        if len(self.known) + len(new) > self.cap:
-            self.known = {u: self.known[u] for u in need if u in self.known}
-        if new:
-            self.known.update(zip(new, self.encode_many([f" {u}" for u in new]), strict=True))
-        get = self.known.__getitem__
+        known = self.known
         first = self.encode_many([units[0] for units in split])
-        return [a + b"".join(map(get, units[1:])) for a, units in zip(first, split, strict=True)]
+        found = []
+        for units in split:
+            found.append([b"", *map(known.__getitem__, units[1:])])
+        if new := list(known.new):
+            known.new.clear()
+            known.update(zip(new, self.encode_many([f" {u}" for u in new]), strict=True))
+        out = []
+        for head, ids, units in zip(first, found, split, strict=True):
+            ids[0], at = head, 0
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = known[units[at]]
+            out.append(b"".join(ids))
+        if len(known) > self.cap:
+            for u in list(islice(known, len(known) - self.cap // 2)):
+                del known[u]
+        return out
 
 
 def slices(texts: list[str], chars: int = 2_000_000):
