@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, quality, token_counts, warc
+from batchwright.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, quality, token_counts, toxicity, warc
 from batchwright.llm.common import table
 
 
@@ -46,12 +46,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_exact_dedup, op4_quality_rules, op5_byte_bpe, op6_chat_formatting, op7_html_extraction, op8_token_counts, op10_ngram_jaccard_join)
+    for f in (op1_warc, op2_packing, op3_exact_dedup, op4_quality_rules, op5_byte_bpe, op6_chat_formatting, op7_html_extraction, op8_token_counts, op9_toxicity, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = {}
