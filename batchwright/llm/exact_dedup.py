@@ -85,19 +85,30 @@ def recipes(docs: DataFrame, mean: int = 4096, key_bytes: int = 16, with_chunks:
     return map_arrow(rows.withColumn("n_chars", F.char_length("text").cast("long")), run, "doc_id long, row long, n_chars long, text_sha256 string, keys array<binary>, chunks array<binary>")
 
 
-def ambiguous_chunks(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
-    """(key, chunk, ordinal) of every digest that stands for more than one content. Reads and compares all chunks."""
-    chunks = recipes(docs, mean, key_bytes, True).select(F.explode(F.arrays_zip("keys", "chunks")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.chunks").alias("chunk"))
-    seen = chunks.distinct()
-    several = seen.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most").select("key")
-    return seen.join(several, "key", "left_semi").withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("chunk")))
+def chunks_of(docs: DataFrame, mean: int, key_bytes: int) -> DataFrame:
+    """key, chunk of every chunk of every document."""
+    rows = recipes(docs, mean, key_bytes, True).select(F.explode(F.arrays_zip("keys", "chunks")).alias("c"))
+    return rows.select(F.col("c.keys").alias("key"), F.col("c.chunks").alias("chunk"))
+
+
+def ambiguous_keys(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
+    """Digests that stand for more than one content. Reads and compares the bytes of all chunks, which are shuffled
+    once, without those that repeat in a task."""
+    return chunks_of(docs, mean, key_bytes).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("key")
+
+
+def ordinals(docs: DataFrame, keys: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
+    """key, chunk, ordinal of every content of these digests."""
+    found = chunks_of(docs, mean, key_bytes).join(keys, "key", "left_semi").distinct()
+    return found.withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("chunk")))
 
 
 def verified_recipes(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
     """doc_id, row, n_chars, text_sha256, recipe: the ordered list of verified identifiers of the chunks."""
-    doubtful = materialize(ambiguous_chunks(docs, mean, key_bytes), "ambiguous-chunks")
-    if doubtful.isEmpty():
+    keys = materialize(ambiguous_keys(docs, mean, key_bytes), "ambiguous-keys")
+    if keys.isEmpty():
         return recipes(docs, mean, key_bytes).select("doc_id", "row", "n_chars", "text_sha256", F.col("keys").alias("recipe"))
+    doubtful = materialize(ordinals(docs, keys, mean, key_bytes), "ordinals")
     rows = recipes(docs, mean, key_bytes, True)
     parts = rows.select("row", F.posexplode(F.arrays_zip("keys", "chunks")).alias("at", "c")).select("row", "at", F.col("c.keys").alias("key"), F.col("c.chunks").alias("chunk"))
     named = parts.join(doubtful, ["key", "chunk"], "left").select("row", F.struct("at", F.concat("key", F.encode(F.lpad(F.coalesce("ordinal", F.lit(0)).cast("string"), 10, "0"), "utf-8")).alias("id")).alias("part"))
