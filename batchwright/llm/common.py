@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.session import ship_package
+from batchwright.session import materialize, ship_package
 
 #: The white space of words and of normalised texts: [\x20\x09-\x0D].
 SPACE = "\t\n\x0b\x0c\r "
@@ -29,6 +29,14 @@ def map_arrow(df: DataFrame, function, schema: str, **options) -> DataFrame:
     return df.mapInArrow(function, schema, **options)
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, if it reads files and no more than projects and filters them, so that every reading gives the same
+    rows in the same partitions and row numbers can be joined on; else what it gives now, written as a table."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
+    return docs if nodes <= {"Relation", "Project", "Filter"} else materialize(docs, "stable")
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,8 +9,8 @@ lists of identifiers are; only these lists move, not the texts.
 Defined cases: a null text counts as empty, and empty texts are equal; a null doc_id comes after every other one
 in ties; of repeated rows one stays; an empty table gives none; other columns are ignored. The group of a text
 that a third of the rows share is counted with partial aggregation, and the join back to the rows is one that
-Spark's adaptive execution splits. ``docs`` must give the same rows in the same partitions when read again, as a
-table does.
+Spark's adaptive execution splits. ``docs`` that isn't a plain
+reading of files is written as a table first, so that row numbers stay the same.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import SPACE, map_arrow, text_or_empty
+from batchwright.llm.common import SPACE, map_arrow, stable, text_or_empty
 from batchwright.session import materialize
 
 DELETE = SPACE.encode()
@@ -119,7 +119,7 @@ def verified_recipes(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) ->
 def exact_duplicates(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, row: of equal texts the row with the most code points stays,
     then that with the smallest doc_id. ``row`` tells rows with the same doc_id apart."""
-    rows = verified_recipes(docs, mean, key_bytes)
+    rows = verified_recipes(stable(docs), mean, key_bytes)
     # Greatest first: more code points, then a doc_id that isn't null, then the smaller doc_id, then the earlier row.
     rank = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("named"), F.bitwise_not("doc_id").alias("low_id"), F.bitwise_not("row").alias("low_row"))
     groups = rows.groupBy("recipe").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -130,5 +130,6 @@ def exact_duplicates(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) ->
 
 def keep_first_copies(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
+    docs = stable(docs)
     dropped = exact_duplicates(docs, mean, key_bytes).where("not kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")

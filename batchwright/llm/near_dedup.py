@@ -14,8 +14,8 @@
 
 Defined cases: a null text is empty; texts without a word are copies of each other and have similarity 1; a text with
 fewer than five words is one run; a null doc_id is later than any other; repeated rows are copies; an empty table
-gives no rows; other columns are ignored. ``docs`` must give the same rows in the same partitions when read again, as
-a table does.
+gives no rows; other columns are ignored. ``docs`` that isn't a plain
+reading of files is written as a table first, so that row numbers stay the same.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, text_or_empty, words_of
+from batchwright.llm.common import map_arrow, stable, text_or_empty, words_of
 from batchwright.llm.components import components
 from batchwright.llm.shingles import WordHashes, mix, shingles
 from batchwright.llm.words import slices
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tole
     A class is a connected group of similar documents; class_id is its least doc_id, and that row is kept. n_links
     counts the other documents at or above the threshold, n_copies those among them with the same set, n_text_links
     the other sets. ``block_nodes`` and ``block_runs`` bound what one task of a large cluster holds."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     marks = materialize(sets_of(rows, size, True), "near-marks")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     nodes = materialize(marks.groupBy("set_key").agg(F.min("row").alias("node"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("set_size").alias("set_size"), F.first("payload").alias("signature")), "near-nodes")
@@ -256,5 +256,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tole
 
 def keep_one_of_each(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
+    docs = stable(docs)
     dropped = near_duplicates(docs, **limits).where("not kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")

@@ -8,8 +8,8 @@ in logarithmic time. Only lengths and checksums are shuffled, never texts or ids
 Defined cases: a null or empty text is the separator alone; a null doc_id stays null; repeated rows are packed
 once each; an empty table gives no rows; columns other than the two named ones are ignored. Rows get their
 group from a hash of the task and the row's place in it, so a doc_id that a third of the rows share does not
-gather in one group. ``docs`` must give the same rows in the same partitions when a task is run again, as a
-table does.
+gather in one group. ``docs`` that isn't a plain
+reading of files is written as a table first, so that row numbers stay the same.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, text_or_empty
+from batchwright.llm.common import map_arrow, stable, text_or_empty
 from batchwright.llm.words import UnitCache, slices
 
 PIECES = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -167,6 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, separator:
     ``sequence_id`` is unique over all groups; ``padded_to`` is ``size``, or the sequence's own number of tokens
     where that is a power of two. Uses one count of ``docs`` to choose the number of groups.
     """
+    docs = stable(docs)
     groups = max(1, ceil(docs.count() / docs_per_group))
 
     def pack(table: pa.Table) -> pa.Table:

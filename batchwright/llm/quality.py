@@ -11,7 +11,8 @@ text count about once: a clean text doesn't become boilerplate by being copied.
 Defined cases: a null text is empty and fails the base rules; a null host is the host ''; a null doc_id stays null;
 repeated rows are judged alike; an empty table gives no rows; other columns are ignored. A line that a third of the
 rows share is counted by partial aggregation over (host, line, document) and joined by a join that adaptive
-execution splits. ``docs`` must give the same rows in the same partitions when read again, as a table does.
+execution splits. ``docs`` that isn't a plain
+reading of files is written as a table first, so that row numbers stay the same.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, text_or_empty, words_of
+from batchwright.llm.common import map_arrow, stable, text_or_empty, words_of
 from batchwright.llm.shingles import WordHashes, runs_repeated, shingles
 from batchwright.session import materialize
 
@@ -93,6 +94,7 @@ def judge(docs: DataFrame, host: str = "source", least_documents: int = 20, leas
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, without the removed lines, with the columns of ``docs``. Where a text
     changes and there is a column n_chars, it is counted again."""
+    docs = stable(docs)
     verdicts = judge(docs, **limits).where("kept").select(F.col("row").alias("__row"), F.col("removed_lines").alias("__removed"))
     kept = docs.withColumn("__row", F.monotonically_increasing_id()).join(verdicts, "__row").drop("__row")
     return without_lines(kept, "__removed")

@@ -11,8 +11,8 @@ vocabulary may hold a ``▁`` after another character; this is checked when the
 most once in a block, so none is hot: a bucket gets the same share of every block.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows give repeated
-results; an empty table gives none; other columns are ignored. ``docs`` must give the same rows in the same
-partitions when a task is run again, as a table does.
+results; an empty table gives none; other columns are ignored. ``docs`` that isn't a plain
+reading of files is written as a table first, so that row numbers stay the same.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, text_or_empty
+from batchwright.llm.common import map_arrow, stable, text_or_empty
 
 FREQUENCIES = -1
 ROWS = "block long, bucket int, dealt int, payload binary, doc_ids array<long>, n_bytes array<long>"
@@ -191,6 +191,6 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, block_chars: in
         doc_ids, n_bytes = (rows.column(c).chunk(0)[0].values for c in ("doc_ids", "n_bytes"))
         return pa.table({"doc_id": doc_ids, "n_bytes": n_bytes, "n_tokens": tokens, "over_limit": tokens > limit})
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), blocks, ROWS)
+    rows = map_arrow(stable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), blocks, ROWS)
     back = map_arrow(rows.repartition(buckets, "dealt"), counted, ROWS)
     return back.groupBy("block").applyInArrow(summed, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

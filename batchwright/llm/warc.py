@@ -14,7 +14,8 @@ only those in the index of tasks that ended well count, so tasks may fail and ru
 
 Defined cases: null html is an empty payload; a null page_id is written as ``null`` and read back as null; repeated
 rows are records of their own; an empty table gives an empty index and no bundle; other columns are ignored.
-``pages`` must give the same rows in the same partitions when read again, as a table does.
+``pages`` that isn't a plain
+reading of files is written as a table first, so that row numbers stay the same.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, text_or_empty
+from batchwright.llm.common import map_arrow, stable, text_or_empty
 from batchwright.session import materialize, new_path
 
 # Fixed values of the seekable format.
@@ -155,6 +156,7 @@ def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, level: int = 3) -> DataFrame:
     """Write a record for every page; return the index, which is kept as a table."""
+    pages = stable(pages)
     folder = folder or new_path(pages.sparkSession, "warc")
     uri = folder if "://" in folder else f"file://{folder}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), text_or_empty("url").alias("url"), F.encode(text_or_empty("html"), "utf-8").alias("payload"))
