@@ -16,12 +16,18 @@ from batchwright.functions.keys import all_set, any_null, entity_id, is_default
 from batchwright.model import Entity, Model
 from batchwright.options import DuplicateKey, Options, UpsertOptions
 from batchwright.plans.constraints import CONFLICT, DANGLING, INVALID, STORED, first_of, with_dangling, with_flag, with_stored, with_validity
+from batchwright.plans.guards import guard_navigations
 from batchwright.plans.index import IDX, densify
 from batchwright.result import FAILED, SKIPPED, SUCCESS, Result
 
 OUTCOME = ("idx", "entity_id", "operation", "status", "reason", "message", "retried", "is_default_key")
 
 
+def _guard(batch: DataFrame, entity: Entity, options: Options | None, operation: str) -> None:
+    if options is None or options.validate_navigations:
+        guard_navigations(batch, entity, operation)
+
+
 def _keys(model: Model) -> dict[str, tuple[str, ...]]:
     return {e.name: e.key for e in model.entities.values()}
 
@@ -74,6 +80,7 @@ def insert(batch: DataFrame, target: DataFrame, model: Model, name: str, related
     """Insert the rows that can be inserted. Rows without a generated key get one, by their order, after the largest
     that is stored or given."""
     entity = model[name]
+    _guard(batch, entity, options, "insert")
     judged = judge_insert(batch, target, model, entity, related or {})
     written = assign_ids(judged.where(F.col("status") == SUCCESS), target, entity)
     shown = written.unionByName(judged.where(F.col("status") != SUCCESS)) if entity.generated_key else judged
@@ -114,6 +121,7 @@ def update(batch: DataFrame, target: DataFrame, model: Model, name: str, related
     """Replace stored rows. A row that isn't stored, or with another token, is a conflict. Of rows with the same key
     all succeed and the last one stays. Unique values are compared with those stored before the batch."""
     entity = model[name]
+    _guard(batch, entity, options, "update")
     judged = judge_update(batch, target, model, entity, related or {})
     return Result(_outcomes(judged, entity), {name: apply_updates(target, judged.where(F.col("status") == SUCCESS), entity)}, options or Options())
 
@@ -122,6 +130,7 @@ def delete(batch: DataFrame, target: DataFrame, model: Model, name: str, depende
     """Delete stored rows. Of rows with the same key the first succeeds and the others conflict. A row that a row of
     ``dependents`` names by a foreign key that restricts is kept; one that cascades or sets null changes that table."""
     entity = model[name]
+    _guard(batch, entity, options, "delete")
     match = (*entity.key, *entity.tokens)
     flagged = with_flag(batch, target, match, match, "__found")
     first = flagged.where("__found").groupBy(*entity.key).agg(F.min(IDX).alias("__first"))
@@ -255,6 +264,7 @@ def upsert(batch: DataFrame, target: DataFrame, model: Model, name: str, related
 
     With ``match_by`` a batch that repeats a key, or a key that several stored rows have, aborts the call."""
     entity, options = model[name], options or UpsertOptions()
+    _guard(batch, entity, options, "upsert")
     if options.match_by is not None:
         check_match_by(options.match_by, entity, batch, target)
         guard_match(batch, target, options.match_by)

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from batchwright.errors import BatchError
 from batchwright.functions.keys import entity_id, is_default, shown
 from batchwright.model import Entity, ForeignKey, Model, Navigation
+from batchwright.operators import links
 from batchwright.operators.flat import apply_updates, without_parents
-from batchwright.options import Cascade, Cycles, GraphOptions, Orphans
+from batchwright.options import Cascade, Cycles, GraphOptions, LinkInsert, Orphans
 from batchwright.plans.constraints import with_dangling, with_flag, with_stored, with_validity
+from batchwright.plans.guards import guard_references
 from batchwright.plans.index import IDX
 from batchwright.result import FAILED, SUCCESS, Result
 from batchwright.session import materialize
@@ -208,13 +210,42 @@ def _claims(nodes: dict[str, DataFrame], model: Model, shared: set[str], failure
     return reduce(DataFrame.unionByName, parts).join(failures.select("root").distinct(), "root", "left_anti")
 
 
+def wanted_links(nodes: dict[str, DataFrame], frames: dict[str, DataFrame], model: Model, options: GraphOptions) -> Iterator[tuple[Entity, Navigation, DataFrame]]:
+    """Of every link navigation that is followed, the link rows that the graphs ask for, with ``__root``. The frame of
+    the link entity holds them."""
+    for name, rows in nodes.items():
+        entity = model[name]
+        for n in followed(model, entity, options):
+            if n.kind == "link" and n.link in frames:
+                owners = rows.select(ROOT, *(F.col(k).alias(c) for k, c in zip(entity.key, n.columns, strict=True)))
+                yield entity, n, frames[n.link].join(owners, [*n.columns])
+
+
+def link_failures(entity: Entity, n: Navigation, wanted: DataFrame, targets: dict[str, DataFrame], fresh: DataFrame | None, model: Model, options: GraphOptions) -> DataFrame:
+    """Roots that ask for too many links, or for links to rows that aren't there (nor inserted with them)."""
+    capped = links.over_cap(wanted, options.max_link_count).select("root", F.lit(1).alias("depth"), F.lit(n.link).alias("entity"), F.lit("ValidationError").alias("reason"))
+    if not options.validate_links:
+        return capped
+    key = model[n.target].key
+    there = targets[n.target].select(*key)
+    if options.link_insert is LinkInsert.INSERT_IF_NEW and fresh is not None:
+        there = there.unionByName(fresh.select(*key))
+    missing = links.missing_related(wanted, there, n.related, key).select("root", F.lit(1).alias("depth"), F.lit(n.link).alias("entity"), F.lit("DatabaseConstraint").alias("reason"))
+    return capped.unionByName(missing)
+
+
 def insert_graph(frames: dict[str, DataFrame], targets: dict[str, DataFrame], model: Model, root: str, options: GraphOptions | None = None, related: dict[str, DataFrame] | None = None) -> Result:
     """Insert whole graphs. Of roots that want the same child row the first one gets it; rows met by reference are
     shared and inserted once where they aren't stored."""
     options = options or GraphOptions()
     nodes = once_each(expand(frames, model, root, options), model, options)
     shared = _references(model, root, nodes, options)
+    linked = [*wanted_links(nodes, frames, model, options)]
+    attached = {n.target for _, n, _ in linked} if options.link_insert is LinkInsert.ATTACH_EXISTING else set()
+    nodes = {name: rows for name, rows in nodes.items() if name not in attached}  # rows that are only attached aren't written
     failures = judge(nodes, targets, model, "Insert", shared, related or {})
+    for entity, n, wanted in linked:
+        failures = failures.unionByName(link_failures(entity, n, wanted, targets, frames.get(n.target), model, options))
     going = first_roots(_claims(nodes, model, shared, failures))
     outcomes = _by_root(nodes[root], model[root], failures, going, F.lit("Insert"))
     kept, state = _kept(nodes, outcomes), {}
@@ -223,8 +254,18 @@ def insert_graph(frames: dict[str, DataFrame], targets: dict[str, DataFrame], mo
         if name in shared:
             fresh = fresh.dropDuplicates([*model[name].key]).join(targets[name].select(*model[name].key), [*model[name].key], "left_anti")
         state[name] = targets[name].unionByName(fresh)
+    good = outcomes.where(F.col("status") == SUCCESS).select(F.col("idx").alias(ROOT))
+    extra = {}
+    for entity, n, wanted in linked:
+        new = links.created(wanted.join(good, ROOT, "left_semi"), targets[n.link], n.columns, n.related)
+        state[n.link] = state.get(n.link, targets[n.link]).unionByName(new.select(*targets[n.link].columns))
+        extra["links"] = _also(extra.get("links"), links.counts(new.withColumn("change", F.lit("added")), f"{entity.name}.{n.name}"))
     edges = hierarchy(kept, model)
-    return Result(outcomes, state, options, {"hierarchy": edges, "statistics": statistics(edges)})
+    return Result(outcomes, state, options, {"hierarchy": edges, "statistics": statistics(edges), **extra})
+
+
+def _also(before: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if before is None else before.unionByName(more)
 
 
 def orphans(nodes: dict[str, DataFrame], targets: dict[str, DataFrame], model: Model, options: GraphOptions) -> dict[str, DataFrame]:
@@ -279,8 +320,13 @@ def update_graph(frames: dict[str, DataFrame], targets: dict[str, DataFrame], mo
         state[name] = apply_updates(added, rows.where(~fresh).withColumn(IDX, F.col(ROOT)), model[name])
     found = orphans(kept, targets, model, options)
     state = without_orphans({**targets, **state}, found, model, options.orphans)
+    extra = {}
+    for entity, n, wanted in wanted_links(kept, frames, model, options):
+        change = links.changes(targets[n.link], wanted, n.columns, n.related)
+        state[n.link] = links.apply_changes(targets[n.link], change, n.columns, n.related).select(*targets[n.link].columns)
+        extra["links"] = _also(extra.get("links"), links.counts(change, f"{entity.name}.{n.name}"))
     edges = hierarchy(kept, model)
-    return Result(outcomes, state, options, {"hierarchy": edges, "statistics": statistics(edges), "routes": routes(kept, model)})
+    return Result(outcomes, state, options, {"hierarchy": edges, "statistics": statistics(edges), "routes": routes(kept, model), **extra})
 
 
 def upsert_graph(frames, targets, model: Model, root: str, options: GraphOptions | None = None, related=None) -> Result:
@@ -328,6 +374,8 @@ def delete_graph(roots: DataFrame, targets: dict[str, DataFrame], model: Model,
     """Delete roots and what belongs to them. CASCADE: everything that refers to them, at any depth. THROW: abort if
     anything does. PARENT_ONLY: the roots alone; a foreign key that restricts fails its root, others act as declared."""
     options, entity = options or GraphOptions(), model[root]
+    if options.validate_references:
+        guard_references(roots, entity)
     flagged = with_flag(roots, targets[root], entity.key, entity.key, "__found")
     held = F.lit(False)
     children = [(child, fk) for child, fk in children_of(model, root) if child.name in targets]

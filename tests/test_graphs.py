@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from batchwright.errors import BatchError
 from batchwright.model import Check, Entity, ForeignKey, Model, Navigation
 from batchwright.operators import graph, links
-from batchwright.options import Cascade, Cycles, GraphOptions, NavigationFilter, Orphans
+from batchwright.options import Cascade, Cycles, GraphOptions, LinkInsert, NavigationFilter, Orphans
 
 MODEL = Model.of(
     Entity("order", ("id",), navigations=(Navigation("items", "item", ("order_id",)),)),
@@ -111,3 +111,39 @@ def test_links(spark):
     assert links.over_cap(wanted, 0).count() == 0
     related = spark.createDataFrame([(2,)], "id long")
     assert [(r["root"], r["ids"]) for r in links.missing_related(wanted, related, ("r",), ("id",)).collect()] == [(0, ["3"])]
+
+
+SCHOOL = Model.of(
+    Entity("student", ("id",), navigations=(Navigation("courses", "course", ("student_id",), "link", "enrolled", ("course_id",)),)),
+    Entity("course", ("id",)),
+    Entity("enrolled", ("student_id", "course_id"), foreign_keys=(ForeignKey(("student_id",), "student", "cascade"), ForeignKey(("course_id",), "course"))),
+)
+
+
+def school(spark):
+    targets = {"student": spark.createDataFrame([(9,)], "id long"), "course": spark.createDataFrame([(1,), (2,)], "id long"), "enrolled": spark.createDataFrame([(9, 1)], "student_id long, course_id long")}
+    frames = {"student": spark.createDataFrame([(0, 5), (1, 6)], "__idx long, id long"), "course": spark.createDataFrame([(1,), (2,), (3,)], "id long"), "enrolled": spark.createDataFrame([(5, 1), (5, 2), (6, 3)], "student_id long, course_id long")}
+    return frames, targets
+
+
+def test_graphs_with_links(spark):
+    frames, targets = school(spark)
+    options = GraphOptions(include_links=True, cycles=Cycles.IGNORE_ALL)
+    result = graph.insert_graph(frames, targets, SCHOOL, "student", options)
+    assert {r["idx"]: r["reason"] for r in result.outcomes.collect()} == {0: None, 1: "DatabaseConstraint"}
+    assert sorted(tuple(r) for r in result.state["enrolled"].collect()) == [(5, 1), (5, 2), (9, 1)]
+    assert "course" not in result.state
+    assert [tuple(r) for r in result.extra["links"].collect()] == [("student.courses", 2, 0)]
+    new = graph.insert_graph(frames, targets, SCHOOL, "student", GraphOptions(include_links=True, cycles=Cycles.IGNORE_ALL, link_insert=LinkInsert.INSERT_IF_NEW))
+    assert sorted(r["id"] for r in new.state["course"].collect()) == [1, 2, 3]
+    capped = graph.insert_graph(frames, targets, SCHOOL, "student", GraphOptions(include_links=True, cycles=Cycles.IGNORE_ALL, max_link_count=1, validate_links=False))
+    assert {r["idx"]: r["reason"] for r in capped.outcomes.collect()} == {0: "ValidationError", 1: None}
+
+
+def test_link_changes_of_an_updated_root(spark):
+    frames, targets = school(spark)
+    frames["student"] = spark.createDataFrame([(0, 9)], "__idx long, id long")
+    frames["enrolled"] = spark.createDataFrame([(9, 2)], "student_id long, course_id long")
+    result = graph.update_graph(frames, targets, SCHOOL, "student", GraphOptions(include_links=True, cycles=Cycles.IGNORE_ALL, orphans=Orphans.DETACH))
+    assert [tuple(r) for r in result.state["enrolled"].collect()] == [(9, 2)]
+    assert [tuple(r) for r in result.extra["links"].collect()] == [("student.courses", 1, 1)]

@@ -180,3 +180,29 @@ def test_chunks(spark):
     found = with_chunk(spark.range(10).withColumnRenamed("id", "__idx"), 4).orderBy("__idx").collect()
     assert [r["chunk"] for r in found] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
     assert found[9]["offset"] == 9
+
+
+def test_filled_navigations_abort_flat_operators(spark):
+    from batchwright.model import Navigation
+
+    model = Model.of(Entity("p", ("id",), navigations=(Navigation("kids", "k", ("p",)),)), Entity("k", ("id",)))
+    batch = spark.createDataFrame([(0, 1, [5]), (1, 2, [])], "__idx long, id long, kids array<long>")
+    stored = spark.createDataFrame([], "id long")
+    with pytest.raises(BatchError):
+        flat.insert(batch, stored, model, "p")
+    assert flat.insert(batch.where("__idx = 1"), stored, model, "p").metrics().first()["success_count"] == 1
+    assert flat.insert(batch, stored, model, "p", options=Options(validate_navigations=False)).metrics().first()["success_count"] == 2
+
+
+def test_cancellation(spark):
+    from batchwright.cancellation import Cancellation, Cancelled, not_attempted
+
+    stop = Cancellation(spark)
+    with stop.running():
+        spark.range(3).count()
+    stop.cancel()
+    with pytest.raises(Cancelled), stop.running():
+        pass
+    result = not_attempted(flat.insert(frame(spark, [(0, 1, 1, 2.0)], "__idx long, a long, b long, price double"), frame(spark, [], "a long, b long, price double"), MODEL, "line"))
+    m = result.metrics().first()
+    assert (m["was_cancelled"], m["total_processed"], m["not_attempted_count"]) == (True, 0, 1)
