@@ -158,7 +158,7 @@ def test_frequent_lines_are_removed_and_copies_are_not(spark):
     rng = random.Random(9)
     menu = "home about contact press jobs and some more words of a menu"
     rows = [(i, f"{menu}\n{prose(rng, 60)}", "a") for i in range(40)]
-    rows += [(100 + i, f"{menu.upper()}\n{prose(rng, 12)}", "a") for i in range(3)]  # little else
+    rows += [(100 + i, f"{menu.upper()}\n{prose(rng, 10)}", "a") for i in range(3)]  # little else
     copied = prose(rng, 80)
     rows += [(200 + i, copied + ("\n" + prose(rng, 2) if i % 3 == 0 else ""), "a") for i in range(60)]
     rows += [(300, f"{menu}\n{prose(rng, 60)}", "b")]  # rare on its host
