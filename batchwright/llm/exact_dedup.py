@@ -122,7 +122,8 @@ def exact_duplicates(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) ->
     rows = verified_recipes(stable(docs), mean, key_bytes)
     # Greatest first: more code points, then a doc_id that isn't null, then the smaller doc_id, then the earlier row.
     rank = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("named"), F.bitwise_not("doc_id").alias("low_id"), F.bitwise_not("row").alias("low_row"))
-    groups = rows.groupBy("recipe").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # As a table, so that the join has an exchange of its own, whose large partitions can be split.
+    groups = materialize(rows.groupBy("recipe").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     return rows.join(groups, "recipe").select(
         "doc_id", F.bitwise_not(F.col("best.low_id")).alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not(F.col("best.low_row"))).alias("kept"), "text_sha256", "row"
     )
