@@ -1,7 +1,8 @@
 """Connected components of a graph given by its edges, by alternating large-star and small-star steps.
 
 Each step only needs the least neighbour of every node, which partial aggregation finds before the shuffle, so a node
-with a third of all edges is no hot spot; the join back is one that adaptive execution splits. The number of rounds
+with a third of all edges is no hot spot; these are written, so that the join back has exchanges of its own and
+adaptive execution can split them. The number of rounds
 grows with the logarithm of the longest path, and every round is a table in the shared folder.
 """
 
@@ -24,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = materialize(small.distinct(), "small-star")
         before, state = state, _state(now)
