@@ -15,7 +15,7 @@ from batchwright.operators import flat  # noqa: E402
 from batchwright.plans.index import with_index  # noqa: E402
 from batchwright.queries import graphs, rows  # noqa: E402
 from batchwright.queries.tables import MODEL, none_of, read  # noqa: E402
-from batchwright.session import local_session  # noqa: E402
+from batchwright.session import local_session, release  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 QUERIES = {
@@ -46,8 +46,10 @@ def main() -> None:
         began = time.perf_counter()
         query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
+        release(spark)
     took |= failure_curve(spark)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF_DIR.rstrip("/"))}))
+    release(spark)
     spark.stop()
 
 

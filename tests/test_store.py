@@ -67,3 +67,16 @@ def test_stream(spark, tmp_path):
     query = mutate_stream(stream, store, MODEL, "t", flat.insert, ("id",)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["id"] for r in store.read("t").collect()) == [1, 2]
+
+
+def test_written_tables_can_be_released(spark, tmp_path):
+    import os
+
+    from batchwright import session
+
+    before = session._written.pop(spark.sparkContext.applicationId, [])
+    table = session.materialize(spark.range(3).toDF("x"), "kept")
+    path = session._written[spark.sparkContext.applicationId][0].removeprefix("file://")
+    assert table.count() == 3 and os.path.isdir(path)
+    assert session.release(spark) == 1 and not os.path.exists(path)
+    session._written[spark.sparkContext.applicationId] = before
