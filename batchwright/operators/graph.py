@@ -110,6 +110,11 @@ def once_each(nodes: dict[str, DataFrame], model: Model, options: GraphOptions)
     return out
 
 
+def _written(nodes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The expanded rows as tables: verdicts, claims and the next states all read them."""
+    return {name: materialize(rows, "nodes") for name, rows in nodes.items()}
+
+
 def hierarchy(nodes: dict[str, DataFrame], model: Model) -> DataFrame:
     """Edges: root, parent, entity, id, depth."""
     return reduce(DataFrame.unionByName, [rows.select(F.col(ROOT).alias("root"), F.col(PARENT).alias("parent"), F.lit(name).alias("entity"), shown(model[name].key).alias("id"), F.col(DEPTH).alias("depth")) for name, rows in nodes.items()])
@@ -238,7 +243,7 @@ def insert_graph(frames: dict[str, DataFrame], targets: dict[str, DataFrame], mo
     """Insert whole graphs. Of roots that want the same child row the first one gets it; rows met by reference are
     shared and inserted once where they aren't stored."""
     options = options or GraphOptions()
-    nodes = once_each(expand(frames, model, root, options), model, options)
+    nodes = _written(once_each(expand(frames, model, root, options), model, options))
     shared = _references(model, root, nodes, options)
     linked = [*wanted_links(nodes, frames, model, options)]
     attached = {n.target for _, n, _ in linked} if options.link_insert is LinkInsert.ATTACH_EXISTING else set()
@@ -303,7 +308,7 @@ def update_graph(frames: dict[str, DataFrame], targets: dict[str, DataFrame], mo
     """Update whole graphs: rows whose key isn't set are inserted, others replaced; stored children that aren't
     submitted are orphans. Orphans of failing roots stay as they are."""
     options = options or GraphOptions()
-    nodes = once_each(expand(frames, model, root, options), model, options)
+    nodes = _written(once_each(expand(frames, model, root, options), model, options))
     if options.orphans is Orphans.THROW:
         found = [r.select(ROOT) for r in orphans(nodes, targets, model, options).values()]
         if found and not reduce(DataFrame.unionByName, found).isEmpty():
