@@ -67,7 +67,7 @@ def recipes(docs: DataFrame, mean: int = 4096, key_bytes: int = 16, with_chunks:
     least, most = max(WINDOW, mean // 4), mean * 8
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):  # few texts at a time
             sha, keys, chunks = [], [], []
             for text in b.column(2).cast(pa.binary()).to_pylist():
                 data = text.translate(None, DELETE)
