@@ -5,8 +5,11 @@ documents of a line are counted. A line in more of them than both limits (a numb
 documents) is removed; a document that loses most of its words and has few left is rejected. Two rules on single texts come first:
 too few words, and too large a share of words in repeated runs of eight.
 
-Documents are told apart by the least hash of their runs of five words, so that copies and near copies of one
-text count about once: a clean text doesn't become boilerplate by being copied.
+The documents of a line are told apart by what they hold besides it: by four least hashes of the runs of five words
+that begin outside of the line and of the lines already found too frequent. So copies and near copies of one text count
+about once (a clean text doesn't become boilerplate by being copied), and different texts around a long line count one
+by one. Lines are found in rounds until none is new, as a second shared line makes documents look alike until it is
+found. Documents with fewer than five words besides a line count as one for it.
 
 Defined cases: a null text is empty and fails the base rules; a null host is the host ''; a null doc_id stays null;
 repeated rows are judged alike; an empty table gives no rows; other columns are ignored. A line that a third of the
@@ -24,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchwright.llm.common import map_arrow, stable, text_or_empty, words_of
-from batchwright.llm.shingles import WordHashes, runs_repeated, shingles
+from batchwright.llm.shingles import MIX, WordHashes, mix, runs_repeated, shingles
 from batchwright.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 DIGITS = {ord(c): "0" for c in "123456789"}
-MEASURES = "doc_id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, document long, lines array<struct<line: long, words: int, times: int>>"
+MEASURES = "doc_id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, document long, lines array<struct<line: long, words: int, times: int, rest: long, least: binary>>"
+#: Odd factors, one for each least hash.
+FACTORS = np.array([[1], [0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93]], np.uint64)
+#: Fewer words than this besides a line don't tell documents apart.
+TELLING = 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -37,29 +44,58 @@ def line_hash(line_words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(line_words).lower().translate(DIGITS).encode()) - (1 << 63)
 
 
+def least_hashes(numbers: np.ndarray, starts: list[int], which: list[int], n: int) -> np.ndarray:
+    """(n lines, hashes): the least hashes of the runs that begin in each line. ``which`` line begins at each start."""
+    runs = shingles(numbers)
+    hashes = np.full((len(FACTORS), len(numbers)), np.iinfo(np.uint64).max)
+    hashes[:, : len(runs)] = runs * FACTORS
+    least = np.full((n, len(FACTORS)), np.iinfo(np.uint64).max)
+    np.minimum.at(least, which, np.minimum.reduceat(hashes, starts, axis=1).T)
+    return least
+
+
+def rests(least: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each line a hash of the least hashes of all other lines; 0 if they have too few words."""
+    out = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        two = np.partition(least, 1, axis=0)[:2]
+        others = np.where(np.arange(len(words))[:, None] == least.argmin(axis=0), two[1], two[0])
+        h = np.zeros(len(words), np.uint64)
+        for column in others.T:
+            h = mix(h * MIX + column)
+        out = np.where(words.sum() - words < TELLING, 0, h.astype(np.int64))
+    return out
+
+
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Of each row the base measures, and its distinct lines with their words and how often they occur."""
+    """Of each row the base measures, and its distinct lines with their words, how often they occur, what is besides
+    them (``rests``) and their least hashes. ``document`` is a hash of the words in their order."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             base, document, lines = [], [], []
             for text in b.column(3).to_pylist():
-                seen, words, found, dup = set(), [], {}, 0
+                seen, words, found, dup, starts, which = set(), [], {}, 0, [], []
                 for line in text.split("\n"):
                     own = words_of(line)
                     if own:
                         dup += line in seen
                         seen.add(line)
+                        starts.append(len(words))
                         words += own
-                        entry = found.setdefault(line_hash(own), [len(own), 0])
+                        entry = found.setdefault(line_hash(own), [len(own), 0, len(found)])
                         entry[1] += 1
+                        which.append(entry[2])
                 numbers = hashes.of(words)
                 base.append((len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, runs_repeated(numbers)))
-                document.append(int(shingles(numbers).min().astype(np.int64)) if words else 0)
-                lines.append([{"line": k, "words": w, "times": n} for k, (w, n) in found.items()])
+                document.append(xxhash.xxh3_64_intdigest(numbers.tobytes()) - (1 << 63))
+                if words:
+                    least = least_hashes(numbers, starts, which, len(found))
+                    rest = rests(least, np.array([w * n for w, n, _ in found.values()])).tolist()
+                lines.append([{"line": k, "words": w, "times": n, "rest": rest[i], "least": least[i].tobytes()} for k, (w, n, i) in found.items()])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), *(pa.array([r[i] for r in base], pa.int64()) for i in range(5)), pa.array(document, pa.int64()), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("times", pa.int32())])))],
+                [b.column(0), b.column(1), b.column(2), *(pa.array([r[i] for r in base], pa.int64()) for i in range(5)), pa.array(document, pa.int64()), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("times", pa.int32()), ("rest", pa.int64()), ("least", pa.binary())])))],
                 names=["doc_id", "row", "host", *BASE, "document", "lines"],
             )
 
@@ -67,20 +103,56 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return map_arrow(rows, run, MEASURES)
 
 
+def removals(measures: DataFrame, frequent: DataFrame) -> DataFrame:
+    """row, removed_words, removed_lines of the rows with a frequent line."""
+    lines = measures.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.line").alias("line"), (F.col("l.words") * F.col("l.times")).cast("long").alias("words"))
+    return lines.join(frequent.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+
+
+def rests_without(touched: DataFrame) -> DataFrame:
+    """(host, line, rest) of the lines of ``touched`` (host, lines, removed_lines) that aren't removed, by what is
+    besides them and the removed ones."""
+
+    def run(batches):
+        for b in batches:
+            hosts, keys, found = [], [], []
+            for host, lines, removed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                removed = set(removed)
+                own = [x for x in lines if x["line"] not in removed]
+                if own:
+                    least = np.frombuffer(b"".join(x["least"] for x in own), np.uint64).reshape(len(own), -1)
+                    hosts += [host] * len(own)
+                    keys += [x["line"] for x in own]
+                    found += rests(least, np.array([x["words"] * x["times"] for x in own])).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.int64())], names=["host", "line", "rest"])
+
+    return map_arrow(touched.select("host", "lines", "removed_lines"), run, "host string, line long, rest long")
+
+
 def frequent_lines(measures: DataFrame, least_documents: int = 20, least_share: float = 0.01) -> DataFrame:
     """(host, line, documents) of the lines above both limits."""
-    spread = measures.select("host", "document", F.explode("lines").alias("l")).select("host", F.col("l.line").alias("line"), "document")
-    counts = spread.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > least_documents)
     hosts = measures.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return counts.join(hosts, "host").where(F.col("documents") > least_share * F.col("of")).select("host", "line", "documents")
+
+    def above(spread: DataFrame) -> DataFrame:
+        counts = spread.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > least_documents)
+        return counts.join(hosts, "host").where(F.col("documents") > least_share * F.col("of")).select("host", "line", "documents")
+
+    def rests_of(rows: DataFrame) -> DataFrame:
+        return rows.select("host", F.explode("lines").alias("l")).select("host", F.col("l.line").alias("line"), F.col("l.rest").alias("rest"))
+
+    found = new = materialize(above(rests_of(measures)), "quality-lines")
+    while not new.isEmpty():
+        removed = materialize(removals(measures, found).select("row", "removed_lines"), "quality-removed")
+        untouched = rests_of(measures.join(removed, "row", "left_anti"))
+        new = materialize(above(untouched.unionByName(rests_without(measures.join(removed, "row")))).join(found, ["host", "line"], "left_anti"), "quality-lines")
+        found = found.unionByName(new)
+    return found
 
 
 def judge(docs: DataFrame, host: str = "source", least_documents: int = 20, least_share: float = 0.01, least_words: int = 20, most_removed: float = 0.5) -> DataFrame:
     """doc_id, row, the base measures, base_failed, removed_words, removed_lines (their hashes), kept."""
     measures = materialize(measure(docs, host), "quality-measures")
-    frequent = frequent_lines(measures, least_documents, least_share).select("host", "line")
-    lines = measures.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.line").alias("line"), (F.col("l.words") * F.col("l.times")).cast("long").alias("words"))
-    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+    removed = removals(measures, frequent_lines(measures, least_documents, least_share))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0))
     depleted = (gone > most_removed * F.col("n_words")) & (F.col("n_words") - gone < least_words)

@@ -173,6 +173,23 @@ def test_frequent_lines_are_removed_and_copies_are_not(spark):
     assert quality.judge(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_different_documents_around_long_lines_count_one_by_one(spark):
+    rng = random.Random(10)
+    footer, notice, header = prose(rng, 60), prose(rng, 100), prose(rng, 12)
+    rows = [(i, f"{prose(rng, 10)}\n{footer}", "a") for i in range(30)]
+    rows += [(100 + i, f"{notice}\n{prose(rng, 10)}", "b") for i in range(30)]
+    rows += [(200 + i, f"{header}\n{prose(rng, 10)}\n{footer}", "c") for i in range(40)]
+    words = prose(rng, 300).split(" ")
+    for i in range(60):  # near copies of a clean text: one word changed
+        words[i] = prose(rng, 1)
+        rows.append((300 + i, "\n".join(" ".join(words[k : k + 30]) for k in range(0, 300, 30)), "d"))
+        words[i] = "same"
+    found = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert [found[k]["removed_words"] for k in (0, 100, 200)] == [60, 100, 72]
+    assert not any(r["kept"] for i, r in found.items() if i < 300)
+    assert all(r["kept"] and not r["removed_words"] for i, r in found.items() if i >= 300)
+
+
 def labelled(rng, n):
     bad = ["grumbolt", "vexnarod", "zorkish"]
     rows, labels = [], []
