@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, one space between words, digits as 0) and hashed. For each host the distinct
 documents of a line are counted. A line in more of them than both limits (a number, and a share of the host's
-documents) is removed; a document that loses most of its words and has few left is rejected. Two rules on single texts come first:
+documents) is removed; a document that loses most of its words or has few left is rejected. Two rules on single texts come first:
 too few words, and too large a share of words in repeated runs of eight.
 
 The documents of a line are told apart by what they hold besides it: by four least hashes of the runs of five words
@@ -155,7 +155,7 @@ def judge(docs: DataFrame, host: str = "source", least_documents: int = 20, leas
     removed = removals(measures, frequent_lines(measures, least_documents, least_share))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0))
-    depleted = (gone > most_removed * F.col("n_words")) & (F.col("n_words") - gone < least_words)
+    depleted = (gone > 0) & ((F.col("n_words") - gone < least_words) | (gone > most_removed * F.col("n_words")))
     return (
         measures.select("doc_id", "row", *BASE)
         .join(removed, "row", "left")

@@ -158,7 +158,7 @@ def test_frequent_lines_are_removed_and_copies_are_not(spark):
     rng = random.Random(9)
     menu = "home about contact press jobs and some more words of a menu"
     rows = [(i, f"{menu}\n{prose(rng, 60)}", "a") for i in range(40)]
-    rows += [(100 + i, f"{menu.upper()}\n{prose(rng, 10)}", "a") for i in range(3)]  # little else
+    rows += [(100 + i, f"{menu.upper()}\n{prose(rng, 12)}", "a") for i in range(3)]  # little else
     copied = prose(rng, 80)
     rows += [(200 + i, copied + ("\n" + prose(rng, 2) if i % 3 == 0 else ""), "a") for i in range(60)]
     rows += [(300, f"{menu}\n{prose(rng, 60)}", "b")]  # rare on its host
@@ -190,6 +190,17 @@ def test_different_documents_around_long_lines_count_one_by_one(spark):
     assert all(r["kept"] and not r["removed_words"] for i, r in found.items() if i >= 300)
 
 
+def test_either_condition_rejects(spark):
+    rng = random.Random(12)
+    long, short = prose(rng, 100), prose(rng, 12)
+    rows = [(i, f"{long}\n{prose(rng, 25)}", "a") for i in range(30)]  # most lost, 25 left
+    rows += [(100 + i, f"{short}\n{prose(rng, 15)}", "b") for i in range(30)]  # less than half lost, 15 left
+    rows += [(200 + i, f"{short}\n{prose(rng, 25)}", "b") for i in range(30)]
+    found = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert [found[k]["removed_words"] for k in (0, 100, 200)] == [100, 12, 12]
+    assert [i for i, r in sorted(found.items()) if r["kept"]] == list(range(200, 230))
+
+
 def labelled(rng, n):
     bad = ["grumbolt", "vexnarod", "zorkish"]
     rows, labels = [], []
