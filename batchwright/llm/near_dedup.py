@@ -210,6 +210,8 @@ def verified_links(members: DataFrame, threshold: float, tolerance: float, packs
     def pair(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         own = [Block.unpack(x) for x in t.column("data").to_pylist()]
+        if len(own) == 1 and t.column("i")[0] != t.column("j")[0]:  # no node fell into the other block
+            return _as_links([])
         return _as_links([Linker(threshold, tolerance).links(own[0], own[-1])])
 
     alone = members.where("blocks = 1").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInArrow(small, LINKS)

@@ -96,6 +96,16 @@ def test_near_duplicates(spark, block):
     assert sum(r["kept"] for r in found) == len(set(label))
 
 
+def test_near_duplicates_with_empty_blocks(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(12):  # each pair is dealt to two blocks; in about half of the cases to the same one
+        words = prose(rng, 60).split(" ")
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    found = near_dedup.near_duplicates(frame(spark, rows), block_nodes=1).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in found) == [(i, i - i % 2, 1, 1) for i in range(24)]
+
+
 def test_near_duplicates_with_nulls_and_none(spark):
     rows = corpus()
     found = near_dedup.near_duplicates(frame(spark, rows)).collect()
