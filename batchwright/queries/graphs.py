@@ -214,14 +214,6 @@ def graph_references_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hierarchy({"part": nodes["part"]}, MODEL).select("root", "id")
 
 
-@query("WITH c AS (SELECT DISTINCT l_suppkey AS root, l_orderkey || '' AS key FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0), r AS (SELECT key, min(root) AS root FROM c GROUP BY key) SELECT count(*) AS keys, count(DISTINCT root) AS first_roots FROM r")
-def graph_first_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who claims a key first, before the rounds of ``first_roots``."""
-    lines = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0")
-    first = lines.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("root"))
-    return first.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("root").alias("first_roots"))
-
-
 @query(
     """WITH c AS (SELECT DISTINCT o_orderkey // 2 AS child, o_orderkey AS root FROM orders), w AS (SELECT child, min(root) AS root FROM c GROUP BY child)
 SELECT c.root, w.root IS NOT NULL AS first FROM c LEFT JOIN w ON w.root = c.root AND w.child = c.child"""
