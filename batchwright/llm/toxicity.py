@@ -10,7 +10,8 @@ makes prose cost alike, and its own part is a cover by contrast: again and again
 documents share and ordinary ones lack, extended both ways as long as most of their words agree.
 
 Training takes a bounded sample of labelled rows: at most ``toxic_rows`` and ``ordinary_rows``, those with the least
-hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters. Scoring
+hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters. Of the
+windows of the ordinary ones every k-th trains the ordinary dictionary, at most 20,000 (``samples``). Scoring
 reads every row and whole texts; no shuffle. Labels, languages, sources and ids are never inputs of a score.
 
 Defined cases: null and empty texts have no window and get the score of such; a null doc_id isn't held out; repeated
