@@ -7,18 +7,17 @@ and its units encoded one by one; the ids are those of the whole text.
 
 from __future__ import annotations
 
+import re
 from itertools import islice
 
+#: A space with other white space beside it.
+BESIDE = re.compile(r" (?:(?<=\s )|(?=\s))")
+
 
 def units_of(text: str) -> list[str]:
     """Cut ``text`` at the safe spaces. Every unit but the first stands for itself with a space before it."""
     parts = text.split(" ")
-    runs = text.split()
-    # Each white space stands alone between other characters: as many runs of others as single spaces and breaks, and one.
-    if len(runs) == len(parts) + text.count("\n") and parts[0] and parts[-1]:
-        if text[0] != "\n" and text[-1] != "\n":
-            return parts
-    elif len(runs) == len(parts) and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+    if parts[0] and parts[-1] and not BESIDE.search(text):
         return parts
     out = [parts[0]]
     for p in parts[1:]:

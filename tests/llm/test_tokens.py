@@ -115,3 +115,12 @@ def test_pretokens_sum_to_the_whole():
     counter, model = token_counts.PieceCounter(P.path("piece_bpe_32k.model")), SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     for t in texts(2000, 3):
         assert sum(counter.counts(token_counts.pretokens(t))) == len(model.encode(t)), repr(t)
+
+
+def test_units_are_never_cut_beside_white_space():
+    rng = random.Random(6)
+    assert units_of("a\tb\n c") == ["a\tb\n c"]
+    for _ in range(3000):
+        text = "".join(rng.choice("ab \t\n") for _ in range(rng.randrange(12)))
+        cuts = [i for i in range(1, len(text) - 1) if text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()]
+        assert units_of(text) == [text[i:j] for i, j in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)], strict=True)]
