@@ -8,7 +8,6 @@ and its units encoded one by one; the ids are those of the whole text.
 from __future__ import annotations
 
 import re
-from itertools import islice
 
 #: A space with other white space beside it.
 BESIDE = re.compile(r" (?:(?<=\s )|(?=\s))")
@@ -30,20 +29,32 @@ def units_of(text: str) -> list[str]:
 
 
 class _Known(dict):
-    """Ids of units; a unit that isn't known yet is noted and gives None."""
+    """Ids of units; a unit that isn't known yet is noted and gives None. Units not met since the last change of
+    generation are in ``older``."""
 
     def __init__(self):
         super().__init__()
         self.new: dict[str, None] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, unit: str) -> None:
-        self.new[unit] = None
+    def __missing__(self, unit: str) -> bytes | None:
+        found = self.older.get(unit)
+        if found is None:
+            self.new[unit] = None
+        else:
+            self[unit] = found
+        return found
+
+    def turn(self) -> None:
+        """What is known becomes the older generation; the one before it is forgotten."""
+        self.older = dict(self)
+        self.clear()
 
 
 class UnitCache:
     """Little-endian 32-bit ids of units. ``encode_many`` gives them for units that aren't known yet.
 
-    No more than about ``cap`` units are held; those known for longest go first.
+    No more than about ``cap`` units are held, in two generations; those met again stay.
     """
 
     def __init__(self, encode_many, cap: int = 700_000):
@@ -66,9 +77,8 @@ class UnitCache:
                 at = ids.index(None, at + 1)
                 ids[at] = known[units[at]]
             out.append(b"".join(ids))
-        if len(known) > self.cap:
-            for u in list(islice(known, len(known) - self.cap // 2)):
-                del known[u]
+        if len(known) > self.cap // 2:
+            known.turn()
         return out
 
 

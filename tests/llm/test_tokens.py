@@ -1,5 +1,6 @@
 """Byte-level BPE, packing and token counts against the public libraries."""
 
+import hashlib
 import random
 import zlib
 
@@ -54,8 +55,39 @@ def test_queue_skips_stale_entries_on_long_runs():
         assert model.merge(t.encode()) == public.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("many", [1, 4, 1000])
+def test_merging_together_equals_the_library(many):
+    """Also with buckets that are all merged by array operations, or none; some ranks lie below those of their parts."""
+    rng, letters = random.Random(4), [bytes((i,)) for i in range(256)]
+    for _ in range(30):
+        tokens = list(dict.fromkeys("".join(rng.choice("abc") for _ in range(rng.randrange(2, 7))).encode() for _ in range(60)))
+        rng.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate([*letters, *tokens])}
+        public = tiktoken.Encoding("small", pat_str=r"[a-c]+", mergeable_ranks=ranks, special_tokens={})
+        merger = bpe.Merger(ranks, many)
+        pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+        pieces = [p for p in pieces if p.encode() not in ranks]
+        assert [np.frombuffer(x, "<u4").tolist() for x in merger.merge_all([p.encode() for p in pieces])] == [public.encode_ordinary(p) for p in pieces]
+
+
+def test_units_met_again_stay_known():
+    asked = []
+    cache = UnitCache(lambda units: [asked.append(u) or u.encode() for u in units], cap=20)
+    for i in range(100):
+        cache.ids([f"x often n{i} m{i}"])
+    assert asked.count(" often") == 1 and len(cache.known) + len(cache.known.older) <= 24
+
+
 def test_bpe_documents(spark):
-    rows = bpe.digests(bpe.encode_documents(docs(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).collect()
+    found = docs(spark)
+    rows = bpe.digests(bpe.encode_documents(found, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).collect()
+    public = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    expected = []
+    for d in found.collect():
+        text = d["text"] or ""
+        ids = np.array(public.encode_ordinary(text), "<u4")
+        expected.append((str(d["doc_id"]), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == sorted(expected)
     assert len(rows) == 308
     empty = next(r for r in rows if r["doc_id"] == 7000)
     assert empty["n_tokens"] == 0 and empty["ids_sha256"] == empty["decoded_sha256"]
