@@ -15,7 +15,8 @@ from batchwright.errors import BatchError
 from batchwright.functions.keys import all_set, any_null, entity_id, is_default
 from batchwright.model import Entity, Model
 from batchwright.options import DuplicateKey, Options, UpsertOptions
-from batchwright.plans.constraints import CONFLICT, DANGLING, INVALID, STORED, first_of, with_dangling, with_flag, with_stored, with_validity
+from batchwright.plans.constraints import CONFLICT, DANGLING, INVALID, STORED, claims_of, first_of, with_dangling, with_flag, with_stored, with_validity
+from batchwright.plans.claims import losers
 from batchwright.plans.guards import guard_navigations
 from batchwright.plans.index import IDX, densify
 from batchwright.result import FAILED, SKIPPED, SUCCESS, Result
@@ -47,23 +48,45 @@ def _verdict(judged: DataFrame, rules: list[tuple[Column, str, Column]], operati
 
 
 def judge_insert(batch: DataFrame, target: DataFrame, model: Model, entity: Entity, related: dict[str, DataFrame]) -> DataFrame:
-    """The batch with its verdict columns."""
+    """The batch with its verdict columns; rows aren't held against each other yet."""
     flagged = with_dangling(with_stored(with_validity(batch, entity), target, entity), entity, related, _keys(model))
-    clean = flagged.where(F.col(INVALID).isNull() & ~F.col(STORED) & F.col(DANGLING).isNull())
-    taken = first_of(clean, entity).withColumn("__taken", F.lit(True))
-    flagged = flagged.join(taken, IDX, "left")
     return _verdict(
         flagged,
         [
             (F.col(INVALID).isNotNull(), "ValidationError", F.col(INVALID)),
             (F.col(STORED), "DuplicateKey", F.lit("a stored row has this key")),
             (F.col(DANGLING).isNotNull(), "DatabaseConstraint", F.col(DANGLING)),
-            (F.col("__taken").isNull(), "DuplicateKey", F.lit("an earlier row of the batch has this key")),
         ],
         "Insert",
     )
 
 
+def compete(judged: DataFrame, entity: Entity, updates: bool = True) -> DataFrame:
+    """``judged``, where of the passing rows that want one unique value (of the key, if they are inserted) only the
+    first passes. Updates of one row are no rivals. ``updates``: whether there may be any."""
+    passing = judged.where(F.col("status") == SUCCESS)
+    inserts = passing.where("attempted = 'Insert'")
+    if len(entity.constraints) == 1:
+        winners = first_of(inserts, entity)
+        if updates:
+            winners = winners.unionByName(passing.where("attempted <> 'Insert'").select(IDX))
+        marked = judged.join(winners.withColumn("__ahead", F.lit(True)), IDX, "left")
+        behind = (F.col("status") == SUCCESS) & F.col("__ahead").isNull()
+    else:
+        claims = claims_of(inserts, entity, F.concat(F.lit("row "), F.col(IDX)))
+        if updates:
+            claims = claims.unionByName(claims_of(passing.where("attempted <> 'Insert'"), entity, F.to_json(F.struct(*entity.key)), with_key=False))
+        marked = judged.join(losers(claims).select(F.col("root").alias(IDX), F.lit(True).alias("__behind")), IDX, "left")
+        behind = F.coalesce(F.col("__behind"), F.lit(False))
+    return marked.withColumns(
+        {
+            "reason": F.when(behind, "DuplicateKey").otherwise(F.col("reason")),
+            "message": F.when(behind, "an earlier row of the batch has this key").otherwise(F.col("message")),
+            "status": F.when(behind, FAILED).otherwise(F.col("status")),
+        }
+    ).drop("__ahead", "__behind")
+
+
 def assign_ids(rows: DataFrame, target: DataFrame, entity: Entity) -> DataFrame:
     """Give rows whose generated key isn't set the next ids, by their order."""
     if not entity.generated_key:
@@ -81,28 +104,36 @@ def insert(batch: DataFrame, target: DataFrame, model: Model, name: str, related
     that is stored or given."""
     entity = model[name]
     _guard(batch, entity, options, "insert")
-    judged = judge_insert(batch, target, model, entity, related or {})
+    judged = compete(judge_insert(batch, target, model, entity, related or {}), entity, updates=False)
     written = assign_ids(judged.where(F.col("status") == SUCCESS), target, entity)
     shown = written.unionByName(judged.where(F.col("status") != SUCCESS)) if entity.generated_key else judged
     return Result(_outcomes(shown, entity), {name: target.unionByName(written.select(*target.columns))}, options or Options())
 
 
+def with_owner_clash(rows: DataFrame, target: DataFrame, entity: Entity) -> DataFrame:
+    """Add ``__owned``: whether a stored row with another key has one of the row's unique values."""
+    clash, owners = F.lit(False), []
+    for i, columns in enumerate(entity.uniques):
+        stored = target.where(all_set(columns)).select(*(F.col(c).alias(f"__k{j}") for j, c in enumerate(columns)), F.struct(*entity.key).alias(f"__owner{i}"))
+        on = [F.col(c) == F.col(f"__k{j}") for j, c in enumerate(columns)]
+        rows = rows.join(stored, on, "left").drop(*(f"__k{j}" for j in range(len(columns))))
+        clash = clash | F.coalesce(F.col(f"__owner{i}") != F.struct(*(F.col(k).cast(target.schema[k].dataType).alias(k) for k in entity.key)), F.lit(False))
+        owners.append(f"__owner{i}")
+    return rows.withColumn("__owned", clash).drop(*owners)
+
+
 def judge_update(batch: DataFrame, target: DataFrame, model: Model, entity: Entity, related: dict[str, DataFrame]) -> DataFrame:
+    """The batch with its verdict columns; rows aren't held against each other yet."""
     flagged = with_dangling(with_validity(batch, entity), entity, related, _keys(model))
     match = (*entity.key, *entity.tokens)
-    flagged = with_flag(flagged, target, match, match, "__found").withColumn(CONFLICT, ~F.col("__found")).drop("__found")
-    clash = F.lit(False)
-    for i, columns in enumerate(entity.uniques):
-        owners = target.where(all_set(columns)).select(*(F.col(c).alias(f"__k{j}") for j, c in enumerate(columns)), F.struct(*entity.key).alias(f"__owner{i}"))
-        on = [F.col(c) == F.col(f"__k{j}") for j, c in enumerate(columns)]
-        flagged = flagged.join(owners, on, "left").drop(*(f"__k{j}" for j in range(len(columns))))
-        clash = clash | F.coalesce(F.col(f"__owner{i}") != F.struct(*entity.key), F.lit(False))
+    flagged = with_flag(flagged, target, match, match, "__found", entity.tokens).withColumn(CONFLICT, ~F.col("__found")).drop("__found")
+    flagged = with_owner_clash(flagged, target, entity)
     return _verdict(
         flagged,
         [
             (F.col(INVALID).isNotNull(), "ValidationError", F.col(INVALID)),
             (F.col(CONFLICT), "ConcurrencyConflict", F.lit("no stored row has this key and token")),
-            (clash, "DuplicateKey", F.lit("another stored row has this value")),
+            (F.col("__owned"), "DuplicateKey", F.lit("another stored row has this value")),
             (F.col(DANGLING).isNotNull(), "DatabaseConstraint", F.col(DANGLING)),
         ],
         "Update",
@@ -119,10 +150,13 @@ def apply_updates(state: DataFrame, updates: DataFrame, entity: Entity) -> DataF
 
 def update(batch: DataFrame, target: DataFrame, model: Model, name: str, related: dict[str, DataFrame] | None = None, options: Options | None = None) -> Result:
     """Replace stored rows. A row that isn't stored, or with another token, is a conflict. Of rows with the same key
-    all succeed and the last one stays. Unique values are compared with those stored before the batch."""
+    all succeed and the last one stays. Unique values are compared with those stored before the batch, and of rows that
+    want one new value for different keys the first gets it."""
     entity = model[name]
     _guard(batch, entity, options, "update")
     judged = judge_update(batch, target, model, entity, related or {})
+    if entity.uniques:
+        judged = compete(judged, entity)
     return Result(_outcomes(judged, entity), {name: apply_updates(target, judged.where(F.col("status") == SUCCESS), entity)}, options or Options())
 
 
@@ -132,7 +166,7 @@ def delete(batch: DataFrame, target: DataFrame, model: Model, name: str, depende
     entity = model[name]
     _guard(batch, entity, options, "delete")
     match = (*entity.key, *entity.tokens)
-    flagged = with_flag(batch, target, match, match, "__found")
+    flagged = with_flag(batch, target, match, match, "__found", entity.tokens)
     first = flagged.where("__found").groupBy(*entity.key).agg(F.min(IDX).alias("__first"))
     flagged = flagged.join(first, [*entity.key], "left")
     held = F.lit(False)
@@ -230,7 +264,7 @@ def judge_upsert(batch: DataFrame, target: DataFrame, model: Model, entity: Enti
     routed = route(batch, target, entity, options.match_by)
     inserts = judge_insert(routed.where("__route = 'Insert'"), target, model, entity, related)
     updates = judge_update(routed.where("__route = 'Update'"), target, model, entity, related)
-    judged = inserts.unionByName(updates, allowMissingColumns=True)
+    judged = compete(inserts.unionByName(updates, allowMissingColumns=True), entity)
     duplicate = (F.col("__route") == "Insert") & (F.col("reason") == "DuplicateKey")
     if options.duplicate_key is DuplicateKey.SKIP:
         clear = F.lit(None).cast("string")

@@ -47,11 +47,17 @@ def changes(stored: DataFrame, wanted: DataFrame, left: tuple[str, ...], right:
     return now.join(own, pair, "left_anti").withColumn("change", F.lit("added")).unionByName(own.join(now, pair, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def apply_changes(stored: DataFrame, change: DataFrame, left: tuple[str, ...], right: tuple[str, ...]) -> DataFrame:
-    """The link table afterwards; payload columns of added links are null."""
+def apply_changes(stored: DataFrame, change: DataFrame, left: tuple[str, ...], right: tuple[str, ...], wanted: DataFrame | None = None) -> DataFrame:
+    """The link table afterwards. Payload columns of added links are those of ``wanted``, where it has them, else null;
+    of a link that is wanted several times those of the least row."""
     pair = [*left, *right]
     kept = stored.join(change.where("change = 'removed'").select(*pair), pair, "left_anti")
-    return kept.unionByName(change.where("change = 'added'").select(*pair), allowMissingColumns=True)
+    added = change.where("change = 'added'").select(*pair)
+    payload = [c for c in stored.columns if wanted is not None and c in wanted.columns and c not in pair]
+    if payload:
+        first = wanted.groupBy(*pair).agg(F.min(F.struct(*payload)).alias("__payload"))
+        added = added.join(first, pair).select(*pair, *(F.col("__payload")[c].alias(c) for c in payload))
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def without(stored: DataFrame, roots: DataFrame, left: tuple[str, ...], key: tuple[str, ...]) -> DataFrame:

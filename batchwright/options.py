@@ -7,6 +7,10 @@ from dataclasses import dataclass, field
 from enum import Enum
 
 
+#: A larger depth means this one; with links it is refused.
+MAX_DEPTH = 100
+
+
 class Strategy(Enum):
     """How attempts are counted; outcomes are the same."""
 
@@ -126,4 +130,6 @@ class GraphOptions(Options):
         super().__post_init__()
         if self.max_depth < 0:
             raise ValueError("max_depth must not be negative")
-        object.__setattr__(self, "depth", min(self.max_depth, 100))
+        if self.include_links and self.max_depth > MAX_DEPTH:
+            raise ValueError(f"max_depth must be at most {MAX_DEPTH} where links are included")
+        object.__setattr__(self, "depth", min(self.max_depth, MAX_DEPTH))

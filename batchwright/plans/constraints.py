@@ -1,4 +1,4 @@
-"""Which rows of a batch break which constraint, as columns. No action runs here but in the fixpoint."""
+"""Which rows of a batch break which constraint, as columns. No action runs here but where several constraints meet."""
 
 from __future__ import annotations
 
@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 from batchwright.functions.keys import all_set, is_default
 from batchwright.model import Entity
+from batchwright.plans.claims import losers
 from batchwright.plans.index import IDX
-from batchwright.session import materialize
 
 INVALID, CONFLICT, STORED, DANGLING = "__invalid", "__conflict", "__stored", "__dangling"
 
 
 def with_validity(batch: DataFrame, entity: Entity) -> DataFrame:
-    """Add the message of the first check that is false; null where all hold."""
-    failing = [F.when(F.coalesce(~F.expr(c.condition), F.lit(False)), F.lit(c.message)) for c in entity.checks]
+    """Add the message of the first rule that is broken; null where all hold. No part of a key may be null, unless the
+    whole key is generated and not set; then the checks."""
+    unset = is_default(batch, entity.key) if entity.generated_key else F.lit(False)
+    failing = [F.when(F.col(k).isNull() & ~unset, F.lit(f"the key column {k} of {entity.name} is null")) for k in entity.key]
+    failing += [F.when(F.coalesce(~F.expr(c.condition), F.lit(False)), F.lit(c.message)) for c in entity.checks]
     return batch.withColumn(INVALID, F.coalesce(*failing, F.lit(None).cast("string")))
 
 
-def with_flag(batch: DataFrame, other: DataFrame, columns: tuple[str, ...], names: tuple[str, ...], flag: str) -> DataFrame:
-    """Add whether ``other`` has a row whose ``names`` equal the batch's ``columns``. Nulls equal nothing."""
+def with_flag(batch: DataFrame, other: DataFrame, columns: tuple[str, ...], names: tuple[str, ...], flag: str, null_safe: tuple[str, ...] = ()) -> DataFrame:
+    """Add whether ``other`` has a row whose ``names`` equal the batch's ``columns``. Nulls equal nothing, but for the
+    columns in ``null_safe``, where they equal each other."""
     keys = other.select(*(F.col(n).alias(f"__k{i}") for i, n in enumerate(names))).distinct().withColumn(flag, F.lit(True))
-    on = [F.col(c) == F.col(f"__k{i}") for i, c in enumerate(columns)]
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) if c in null_safe else F.col(c) == F.col(f"__k{i}") for i, c in enumerate(columns)]
     joined = batch.join(keys, reduce(lambda a, b: a & b, on), "left")
     return joined.drop(*(f"__k{i}" for i in range(len(columns)))).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
@@ -55,31 +59,28 @@ def with_stored(batch: DataFrame, target: DataFrame, entity: Entity) -> DataFram
     return batch.withColumn(STORED, reduce(lambda a, b: a | b, flags)).drop(*(f"__u{i}" for i in range(len(flags))))
 
 
+def claims_of(rows: DataFrame, entity: Entity, owner: Column, root: str = IDX, with_key: bool = True) -> DataFrame:
+    """root, key (entity, constraint and values, as text), owner: the unique values that the rows claim; those of the
+    entity's own key only ``with_key``."""
+    keys = [
+        F.when(applies(rows, entity, c), F.concat(F.lit(f"{entity.name} {i} "), F.to_json(F.struct(*(F.col(x) for x in c)))))
+        for i, c in enumerate(entity.constraints)
+        if i or with_key
+    ]
+    held = F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+    return rows.select(F.col(root).alias("root"), owner.alias("owner"), F.explode(held).alias("key"))
+
+
 def first_of(rows: DataFrame, entity: Entity, order: str = IDX) -> DataFrame:
     """Of the candidate ``rows`` the ``order`` values of those that are inserted: greedy in order, a row taking the
     keys it has and an earlier taker excluding later ones.
 
     One constraint: the least index of each key, by partial aggregation (no window, so no hot key gathers). Several:
-    rounds in which rows that come first in all their groups are taken and rows that share a key with one are left,
-    until none is undecided. Only rows in groups of two or more take part in the rounds."""
+    ``claims.losers``."""
     constraints = entity.constraints
     if len(constraints) == 1:
         held = applies(rows, entity, constraints[0])
         taken = rows.where(held).groupBy(*constraints[0]).agg(F.min(order).alias(order)).select(order)
         return taken.unionByName(rows.where(~held).select(order))
-    keys = [F.when(applies(rows, entity, c), F.struct(*(F.col(x) for x in c))).alias(f"__c{i}") for i, c in enumerate(constraints)]
-    left = materialize(rows.select(order, *keys), "undecided")
-    taken = []
-    while not left.isEmpty():
-        marked = left
-        for i in range(len(constraints)):
-            least = left.where(F.col(f"__c{i}").isNotNull()).groupBy(f"__c{i}").agg(F.min(order).alias(f"__m{i}"))
-            marked = marked.join(least, f"__c{i}", "left")
-        wins = reduce(lambda a, b: a & b, (F.col(f"__c{i}").isNull() | (F.col(f"__m{i}") == F.col(order)) for i in range(len(constraints))))
-        won = materialize(marked.where(wins).select(order, *(f"__c{i}" for i in range(len(constraints)))), "won")
-        taken.append(won.select(order))
-        left = left.join(won.select(order), order, "left_anti")
-        for i in range(len(constraints)):
-            left = left.join(won.where(F.col(f"__c{i}").isNotNull()).select(f"__c{i}"), f"__c{i}", "left_anti")
-        left = materialize(left, "undecided")
-    return reduce(DataFrame.unionByName, taken) if taken else rows.select(order).limit(0)
+    lost = losers(claims_of(rows, entity, F.col(order).cast("string"), order))
+    return rows.select(order).join(lost.withColumnRenamed("root", order), order, "left_anti")
