@@ -7,6 +7,8 @@ own frame. A root and everything below it succeed or fail together.
 Rows of an entity with a generated key that isn't set are rows of their own. Until it is known which graphs go ahead they
 have provisional keys; then they get the next ids in order of their ``__idx``, and what refers to them follows.
 
+Rows of the root's frame without ``__idx`` are no roots but may be met as children.
+
 ``expand`` gives, by entity, the rows with ``__root`` (the root's index), ``__depth`` and ``__parent`` (the parent's
 entity and key as text). A node at depth d is expanded if d is under the limit. Expansion and guards run jobs; verdicts
 and the next states are plans over tables that are written once.
@@ -62,10 +64,12 @@ def prepare(frames: dict[str, DataFrame], model: Model) -> dict[str, DataFrame]:
     for name, rows in frames.items():
         entity = model[name]
         if entity.generated_key:
-            if IDX not in rows.columns:
-                rows = materialize(rows.withColumn(IDX, F.monotonically_increasing_id()), "numbered")
-            key = entity.key[0]
-            rows = rows.withColumn(key, F.when(is_default(rows, entity.key), F.lit(PROVISIONAL) - F.col(IDX)).otherwise(F.col(key).cast("long")))
+            number, itself = F.monotonically_increasing_id() + F.lit(1 << 61), any(n.target == name for n in entity.navigations)
+            if IDX not in rows.columns or itself:  # rows that aren't roots have no index
+                given = F.col(IDX) if IDX in rows.columns else F.lit(None).cast("long")
+                rows = materialize(rows.withColumn("__number", F.coalesce(given, number)), "numbered")
+            key, place = entity.key[0], F.col("__number" if "__number" in rows.columns else IDX)
+            rows = rows.withColumn(key, F.when(is_default(rows, entity.key), F.lit(PROVISIONAL) - place).otherwise(F.col(key).cast("long"))).drop("__number")
         keyed[name] = rows
     out = {}
     for name, rows in keyed.items():
@@ -171,7 +175,7 @@ def expand(frames: dict[str, DataFrame], model: Model, root: str, options: Graph
     """Rows by entity with their marks; a join for each navigation of each level. Types that reach themselves are
     followed level by level until nothing is found; others end by themselves."""
     check_filter(model, options)
-    start = frames[root].withColumns({ROOT: F.col(IDX), DEPTH: F.lit(0), PARENT: F.lit(None).cast("string")}).drop(IDX)
+    start = frames[root].where(F.col(IDX).isNotNull()).withColumns({ROOT: F.col(IDX), DEPTH: F.lit(0), PARENT: F.lit(None).cast("string")}).drop(IDX)
     level, out, depth = {root: [start]}, {root: [start]}, 0
     seen = {root}
     while level and depth < options.depth:

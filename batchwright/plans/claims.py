@@ -1,8 +1,8 @@
 """First come, first served over several keys at once.
 
 A root claims keys; in order of the roots, one goes ahead if none of its keys is held, by another owner, by a root before
-it that went ahead. What isn't decided after a few rounds over all roots is split into connected components of roots and
-keys, and these are gone through in order, many in a task. A component too large for a task is decided in rounds; the
+it that went ahead. What isn't decided after a few rounds over all roots is gone through in order, in one task if it fits;
+else it is split into connected components of roots and keys, many to a task. A component too large for a task is decided in rounds; the
 number of rounds is that of its longest chain of roots that wait for each other.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchwright.plans.components import components
-from batchwright.session import materialize
+from batchwright.session import materialize, ship_package
 
 CLAIMS = "root long, key string, owner string"
 
@@ -32,6 +32,7 @@ def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _in_order(left: DataFrame, in_task: int) -> DataFrame:
     """The roots that lose among claims whose components fit a task, many components to a task."""
+    ship_package(left.sparkSession)
     tasks = max(1, ceil(left.count() / in_task))
 
     def run(t: pa.Table) -> pa.Table:
@@ -65,6 +66,9 @@ def losers(claims: DataFrame, rounds: int = 3, in_task: int = 1_000_000) -> Data
     left = materialize(claims.join(contested, "key"), "claims")
     found, n = [left.select("root").where(F.lit(False))], 0
     while not left.isEmpty():
+        if n == rounds and left.count() <= in_task:
+            found.append(materialize(_in_order(left.withColumn("label", F.lit(0)), in_task), "lost"))
+            break
         if n == rounds:
             edges = left.select(F.xxhash64(F.lit("root"), F.col("root")).alias("u"), F.xxhash64(F.lit("key"), F.col("key")).alias("v"))
             labelled = left.withColumn("node", F.xxhash64(F.lit("root"), F.col("root"))).join(components(edges), "node").drop("node")

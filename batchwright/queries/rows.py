@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchwright.cancellation import not_attempted
+from batchwright.errors import BatchError
+from batchwright.functions.failures import classify, is_transient
 from batchwright.model import Entity, Model
 from batchwright.operators import flat, partition
-from batchwright.options import Detail, DuplicateKey, Options, Strategy, UpsertOptions
+from batchwright.options import Detail, DuplicateKey, GraphOptions, Options, Retry, Strategy, UpsertOptions
 from batchwright.plans.constraints import first_of
 from batchwright.plans.index import IDX
 from batchwright.queries.tables import MODEL, indexed, none_of, read
 from batchwright.queries.tables import flat as shown
 from batchwright.result import Result
+from batchwright.session import new_path
+from batchwright.sources.opaque import validated
+from batchwright.sources.store import Store, with_retry
+from batchwright.writer import BatchWriter
 
 QUERIES, SQL = {}, {}
 
@@ -142,10 +150,22 @@ def partition_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.chunk_measures(isolated(spark, sf_dir).outcomes, 7)
 
 
-@query(f"WITH {CHUNKS} SELECT sum(success_count)::BIGINT AS success_count, sum(failure_count)::BIGINT AS failure_count, sum(rows)::BIGINT AS total_processed FROM chunks")
+@query(f"WITH {ISOLATED} SELECT idx, l_orderkey, l_linenumber, operation, status, reason FROM outcome")
 def merge_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = partition.with_chunk(isolated(spark, sf_dir).outcomes, 7, "idx")
-    return partition.merge([outcomes.where(F.col("chunk") < 3).drop("chunk", "offset"), outcomes.where(F.col("chunk") >= 3).drop("chunk", "offset")]).select("success_count", "failure_count", "total_processed")
+    """Two parts with indices of their own, put together."""
+    whole = isolated(spark, sf_dir)
+    chunks = partition.with_chunk(whole.outcomes, 2, "idx")
+    second = chunks.where("chunk = 1").agg(F.min("offset")).first()[0] or 0
+    parts = [replace(whole, outcomes=chunks.where(F.col("chunk") == i).withColumn("idx", F.col("idx") - F.col("offset")).drop("chunk", "offset")) for i in range(2)]
+    return shown(partition.merge([(parts[0], 0), (parts[1], second)]).outcomes, *LINE_KEY)
+
+
+@query("SELECT 3 + 4 AS retries, 2.5 AS duration, CAST(NULL AS BIGINT) AS round_trips")
+def merge_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What isn't known of any part isn't known of the whole; else known numbers are added."""
+    one = isolated(spark, sf_dir)
+    whole = partition.merge([(replace(one, retries=3, duration=2.5), 0), (replace(one, retries=4), 0)]).summary()
+    return whole.select(F.col("total_retries").cast("int").alias("retries"), F.col("duration_seconds").cast("decimal(2,1)").alias("duration"), "round_trips")
 
 
 @query()
@@ -154,6 +174,57 @@ def unique_multi_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of(indexed(read(spark, sf_dir, "lineitem")), entity).withColumnRenamed(IDX, "idx")
 
 
+@query(f"WITH {numbered(ORDERS, 'orders')} SELECT idx FROM batch WHERE idx % 2 = 0")
+def unique_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row wants a value of the one before it and one of the next: the longest chain of rivals there is."""
+    chained = indexed(read(spark, sf_dir, "orders")).select(IDX, F.expr("-1 - __idx").alias("k"), F.expr("(__idx + 1) div 2").alias("a"), F.expr("__idx div 2").alias("b"))
+    return first_of(chained, Entity("link", ("k",), uniques=(("a",), ("b",)))).withColumnRenamed(IDX, "idx")
+
+
+@query(
+    f"""WITH {numbered(LINES, 'lineitem')}, taken AS (SELECT min(idx) AS idx FROM batch WHERE l_discount <= 0.09 AND l_linenumber <> 3 GROUP BY l_orderkey, l_linenumber)
+SELECT b.idx, CASE WHEN t.idx IS NOT NULL THEN 'Success' ELSE 'Failed' END AS status, CASE WHEN l_linenumber = 3 OR l_discount > 0.09 THEN 'ValidationError' WHEN t.idx IS NULL THEN 'DuplicateKey' END AS reason,
+CASE WHEN l_linenumber = 3 THEN 'the key column l_linenumber of lineitem is null' WHEN l_discount > 0.09 THEN 'the discount is over 0.09' WHEN t.idx IS NULL THEN 'an earlier row of the batch has this key' END AS message FROM batch b LEFT JOIN taken t ON t.idx = b.idx"""
+)
+def insert_null_key_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = indexed(read(spark, sf_dir, "lineitem")).withColumn("l_linenumber", F.expr("nullif(l_linenumber, 3)"))
+    return flat.insert(lines, none_of(lines), MODEL, "lineitem").outcomes.select("idx", "status", "reason", "message")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'ValidationError' END AS reason, CASE WHEN p_size % 7 = 0 THEN 'a size of sevens' END AS message FROM part")
+def insert_opaque_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A validator that raises for a whole set of rows if one of them is bad."""
+
+    def validate(rows):
+        if (rows["p_size"] % 7 == 0).any():
+            raise ValueError("a size of sevens")
+
+    return validated(read(spark, sf_dir, "part"), validate).select("p_partkey", "reason", "message")
+
+
+@query("SELECT count(*) AS not_attempted_count, 0::BIGINT AS success_count, 0::BIGINT AS failure_count, true AS was_cancelled, false AS is_complete_success FROM lineitem")
+def cancelled_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_attempted(isolated(spark, sf_dir)).metrics().select("not_attempted_count", "success_count", "failure_count", "was_cancelled", "is_complete_success")
+
+
+@query("SELECT 0::BIGINT AS success_count, 0::BIGINT AS failure_count, 0::BIGINT AS total_processed, 0.0::DOUBLE AS success_rate, false AS is_complete_success, false AS is_complete_failure")
+def empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = indexed(read(spark, sf_dir, "lineitem").where(F.lit(False)))
+    return flat.insert(lines, none_of(lines), MODEL, "lineitem").metrics().select("success_count", "failure_count", "total_processed", "success_rate", "is_complete_success", "is_complete_failure")
+
+
+@query(f"WITH {ISOLATED} SELECT * FROM outcome WHERE idx IN (0, 7, 1000)")
+def outcome_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the batch looked up by their place."""
+    result = isolated(spark, sf_dir)
+    return shown(result.at(0).unionByName(result.at(7)).unionByName(result.at(1000)), *LINE_KEY)
+
+
+@query(f"WITH {ISOLATED} SELECT idx, l_orderkey, l_linenumber, operation, reason, CASE reason WHEN 'ValidationError' THEN 'the discount is over 0.09' ELSE 'an earlier row of the batch has this key' END AS message FROM outcome WHERE status = 'Failed'")
+def detail_full_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isolated(spark, sf_dir).failures().select("idx", *(F.col("entity_id")[k].alias(k) for k in LINE_KEY), "operation", "reason", "message")
+
+
 # Update and delete
 
 
@@ -205,6 +276,42 @@ def delete_missing_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(flat.delete(batch, lines, MODEL, "lineitem").outcomes, *LINE_KEY)
 
 
+CUSTOMER = replace(MODEL["customer"], generated_key=False, checks=())
+NAMED = Model({"customer": CUSTOMER})
+
+
+@query(
+    f"""WITH {numbered(CUSTOMERS, 'customer', 'c_custkey % 2 = 0')}, named AS (SELECT idx, c_custkey, CASE WHEN c_custkey % 10 = 2 THEN 'Customer#000000001' ELSE 'x' || (c_custkey // 4) END AS name FROM batch),
+taken AS (SELECT min(idx) AS idx FROM named WHERE name LIKE 'x%' GROUP BY name)
+SELECT n.idx, c_custkey, 'Update' AS operation, CASE WHEN t.idx IS NULL THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN t.idx IS NULL THEN 'DuplicateKey' END AS reason FROM named n LEFT JOIN taken t ON t.idx = n.idx"""
+)
+def update_duplicate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of the batch want each new name, and some the name of a stored row."""
+    customers = read(spark, sf_dir, "customer")
+    batch = indexed(customers.where("c_custkey % 2 = 0")).withColumn("c_name", F.expr("if(c_custkey % 10 = 2, 'Customer#000000001', concat('x', c_custkey div 4))"))
+    return shown(flat.update(batch, customers, NAMED, "customer").outcomes, "c_custkey")
+
+
+@query(
+    f"""WITH {numbered(ORDERS, 'orders')}
+SELECT idx, o_orderkey, 'Update' AS operation, CASE WHEN o_orderkey % 3 = 0 THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'ConcurrencyConflict' END AS reason FROM batch"""
+)
+def update_null_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the stored tokens are null; a null token matches a null one."""
+    model = Model({"orders": Entity("orders", ("o_orderkey",), tokens=("token",))})
+    orders = read(spark, sf_dir, "orders").withColumn("token", F.expr("if(o_orderkey % 2 = 0, null, o_custkey)"))
+    batch = indexed(read(spark, sf_dir, "orders")).withColumn("token", F.expr("case when o_orderkey % 3 = 0 then -1 when o_orderkey % 2 = 0 then null else o_custkey end"))
+    return shown(flat.update(batch, orders, model, "orders").outcomes, "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0)")
+def delete_null_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Model({"orders": Entity("orders", ("o_orderkey",), tokens=("token",))})
+    orders = read(spark, sf_dir, "orders").withColumn("token", F.expr("if(o_orderkey % 2 = 0, null, o_custkey)"))
+    batch = indexed(read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")).withColumn("token", F.expr("if(o_orderkey % 3 = 0, 5L, null)"))
+    return flat.delete(batch, orders, model, "orders").state["orders"].select("o_orderkey")
+
+
 # Upsert
 
 GENERATED = Model(MODEL.entities | {"orders": replace(MODEL["orders"], generated_key=True, foreign_keys=())})
@@ -297,3 +404,115 @@ def match_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matching_rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read(spark, sf_dir, "customer")
     return flat.matching_rows(customers, customers.where("c_nationkey < 5"), ("c_name",)).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query(
+    f"""WITH {numbered(CUSTOMERS, 'customer', 'c_custkey % 4 < 2')}, named AS (SELECT *, c_custkey % 4 = 0 AS fresh, 'y' || (c_custkey // 8) AS name FROM batch),
+taken AS (SELECT min(idx) AS idx FROM named GROUP BY name), won AS (SELECT n.idx, row_number() OVER (ORDER BY n.idx) AS r FROM named n JOIN taken t ON t.idx = n.idx WHERE fresh)
+SELECT n.idx, CASE WHEN NOT fresh THEN c_custkey WHEN r IS NULL THEN 0 ELSE (SELECT max(c_custkey) FROM customer) + r END AS c_custkey, CASE WHEN fresh THEN 'Insert' ELSE 'Update' END AS operation,
+CASE WHEN t.idx IS NULL THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN t.idx IS NULL THEN 'DuplicateKey' END AS reason FROM named n LEFT JOIN taken t ON t.idx = n.idx LEFT JOIN won w ON w.idx = n.idx"""
+)
+def upsert_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts and updates that want the same name: the first one gets it."""
+    customers = read(spark, sf_dir, "customer")
+    batch = indexed(customers.where("c_custkey % 4 < 2")).withColumns({"c_name": F.expr("concat('y', c_custkey div 8)"), "c_custkey": F.expr("if(c_custkey % 4 = 0, 0L, c_custkey)")})
+    model = Model({"customer": replace(CUSTOMER, generated_key=True)})
+    return shown(flat.upsert(batch, customers, model, "customer").outcomes, "c_custkey")
+
+
+# Guards, options, the front-end
+
+
+def raises(call) -> bool:
+    try:
+        call()
+    except (BatchError, ValueError):
+        return True
+    return False
+
+
+@query(
+    """SELECT 'filled navigation' AS guard, EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey) AS raised UNION ALL SELECT 'empty navigation', false
+UNION ALL SELECT 'repeated match key', EXISTS (SELECT 1 FROM part GROUP BY p_name HAVING count(*) > 1) UNION ALL SELECT 'ambiguous match key', EXISTS (SELECT 1 FROM part WHERE p_name = (SELECT min(p_name) FROM part) HAVING count(*) > 1)
+UNION ALL SELECT 'unique match key', EXISTS (SELECT 1 FROM customer GROUP BY c_name HAVING count(*) > 1) UNION ALL SELECT 'match by key', true UNION ALL SELECT 'match by nothing', true UNION ALL SELECT 'match by a navigation', true UNION ALL SELECT 'match by no column', true
+UNION ALL SELECT 'match under a filter', true UNION ALL SELECT 'match by a generated column', true"""
+)
+def guards_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which calls abort as a whole."""
+    orders, parts, customers = (read(spark, sf_dir, n) for n in ("orders", "part", "customer"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_linenumber").alias("lines"))
+    nested, first = indexed(orders.join(lines, "o_orderkey", "left")), parts.agg(F.min("p_name").alias("p_name"))
+
+    def matched(rows: DataFrame, name: str, by: tuple[str, ...], entity: Entity | None = None):
+        model = Model({name: entity or replace(MODEL[name], generated_key=False, uniques=(), checks=())})
+        return lambda: flat.upsert(indexed(rows), read(spark, sf_dir, name), model, name, options=UpsertOptions(match_by=by))
+
+    found = {
+        "filled navigation": raises(lambda: flat.insert(nested, none_of(nested), MODEL, "orders")),
+        "empty navigation": raises(lambda: flat.insert(nested.withColumn("lines", F.array().cast("array<int>")), none_of(nested), MODEL, "orders")),
+        "repeated match key": raises(matched(parts, "part", ("p_name",))),
+        "ambiguous match key": raises(matched(parts.join(first, "p_name", "left_semi").limit(1), "part", ("p_name",))),
+        "unique match key": raises(matched(customers, "customer", ("c_name",))),
+        "match by key": raises(matched(customers, "customer", ("c_custkey",))),
+        "match by nothing": raises(matched(customers, "customer", ())),
+        "match by a navigation": raises(matched(customers, "customer", ("orders",))),
+        "match by no column": raises(matched(customers, "customer", ("c_nothing",))),
+        "match under a filter": raises(matched(customers, "customer", ("c_name",), replace(CUSTOMER, query_filter=True))),
+        "match by a generated column": raises(matched(customers, "customer", ("c_name",), replace(CUSTOMER, store_generated=("c_name",)))),
+    }
+    return spark.createDataFrame(sorted(found.items()), "guard string, raised boolean")
+
+
+@query(
+    """SELECT * FROM (VALUES ('strategy', 'one_by_one'), ('detail', 'full'), ('validate_navigations', 'True'), ('duplicate_key', 'fail'), ('match_by', 'None'), ('max_depth', '10'), ('include_references', 'False'), ('include_links', 'False'),
+('cycles', 'throw'), ('max_link_count', '0'), ('orphans', 'throw'), ('cascade', 'cascade'), ('link_insert', 'attach_existing'), ('validate_links', 'True'), ('validate_references', 'True'), ('max_retries', '3'), ('initial_delay', '0.1'), ('backoff', '2.0'), ('depth of 200', '100'), ('links at depth 101', 'refused')) AS v(name, value)"""
+)
+def option_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {**vars(UpsertOptions()), **vars(GraphOptions()), **vars(Retry())}
+    names = "strategy detail validate_navigations duplicate_key match_by max_depth include_references include_links cycles max_link_count orphans cascade link_insert validate_links validate_references max_retries initial_delay backoff".split()
+    rows = [(n, (str(v.value) if isinstance(v.value, str) else v.name.lower()) if isinstance(v := found[n], Enum) else str(v)) for n in names]
+    rows += [("depth of 200", str(GraphOptions(max_depth=200).depth)), ("links at depth 101", "refused" if raises(lambda: GraphOptions(max_depth=101, include_links=True)) else "taken")]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+@query(
+    """SELECT * FROM (VALUES ('a check', 'ValidationError', false), ('duplicate key value', 'DuplicateKey', false), ('violates foreign key constraint', 'DatabaseConstraint', false), ('row was changed by another commit', 'ConcurrencyConflict', false),
+('deadlock detected', 'Unknown', true), ('connection reset by peer', 'Unknown', true), ('something else', 'Unknown', false)) AS v(text, reason, transient)"""
+)
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of failure an error is, and whether it is worth another try."""
+    errors = [ValueError("a check"), *map(RuntimeError, ("duplicate key value", "violates foreign key constraint", "row was changed by another commit", "deadlock detected", "connection reset by peer", "something else"))]
+    return spark.createDataFrame([(str(e), classify(e), is_transient(e)) for e in errors], "text string, reason string, transient boolean")
+
+
+@query("SELECT * FROM (VALUES (0, 1, 'raised', 0.0), (1, 1, 'done', 0.1), (3, 3, 'done', 0.7), (3, 4, 'raised', 0.7)) AS v(allowed, failing, ended, paused)")
+def retries_and_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for allowed, failing in ((0, 1), (1, 1), (3, 3), (3, 4)):
+        left, pauses = [failing], []
+
+        def action(left=left):
+            left[0] -= 1
+            if left[0] >= 0:
+                raise TimeoutError("timed out")
+
+        try:
+            with_retry(action, Retry(max_retries=allowed), pauses.append)
+            ended = "done"
+        except TimeoutError:
+            ended = "raised"
+        rows.append((allowed, failing, ended, float(round(sum(pauses), 6))))
+    return spark.createDataFrame(rows, "allowed int, failing int, ended string, paused double").withColumn("paused", F.col("paused").cast("decimal(2,1)"))
+
+
+@query(
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment, 3::BIGINT AS commits FROM customer WHERE c_acctbal >= 0 AND c_custkey % 5 <> 0"""
+)
+def writer_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert into an empty store, update, delete: each call finds its keys in the model and commits once."""
+    store, customers = Store(spark, new_path(spark, "store")), read(spark, sf_dir, "customer")
+    writer = BatchWriter(store, Model({"customer": replace(MODEL["customer"], generated_key=False, navigations=())}), "customer")
+    writer.insert(customers)
+    writer.update(customers.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("CHANGED")))
+    writer.delete(customers.where("c_custkey % 5 = 0"))
+    return store.read("customer").select("c_custkey", "c_name", "c_mktsegment", F.lit(store.commits()).cast("long").alias("commits"))

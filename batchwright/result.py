@@ -44,12 +44,18 @@ def measures(outcomes: DataFrame) -> DataFrame:
 @dataclass
 class Result:
     """``outcomes``: idx, entity_id, operation, status, reason, message, retried, is_default_key. ``state``: the next
-    state of every table that the call changes, by entity. Everything is a lazy DataFrame."""
+    state of every table that the call changes, by entity. Both are DataFrames.
+
+    ``duration`` (seconds), ``round_trips`` (commits) and ``retries`` (of commits) are known once a call is committed;
+    None before."""
 
     outcomes: DataFrame
     state: dict[str, DataFrame]
     options: Options = field(default_factory=Options)
     extra: dict[str, DataFrame] = field(default_factory=dict)
+    duration: float | None = None
+    round_trips: int | None = None
+    retries: int | None = None
 
     def _needs(self, level: Detail, what: str) -> None:
         if self.options.detail.value < level.value:
@@ -58,6 +64,10 @@ class Result:
     def metrics(self) -> DataFrame:
         return measures(self.outcomes)
 
+    def summary(self) -> DataFrame:
+        """The metrics with duration_seconds, round_trips and total_retries."""
+        return self.metrics().withColumns({"duration_seconds": F.lit(self.duration).cast("double"), "round_trips": F.lit(self.round_trips).cast("long"), "total_retries": F.lit(self.retries).cast("long")})
+
     def attempts(self) -> DataFrame:
         """Saves that the chosen strategy would have made; needs dense indices from 0."""
         return attempts(self.outcomes, self.options.strategy is Strategy.DIVIDE_AND_CONQUER)

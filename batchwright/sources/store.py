@@ -1,19 +1,24 @@
-"""Versioned tables: a commit writes the whole next state beside the old one and then moves a pointer.
-
-Parquet has no row operations, so a table is a folder of version folders and ``_current``, a one-row Parquet table
-with the version in use. A commit that fails leaves the old version; readers see one or the other. One writer at a
-time: a commit says which version it was planned on and is refused if another came first.
+"""Versioned tables: a commit writes the next states beside the old ones and then adds one entry to a log.
+
+Parquet has no row operations, so a table is a folder of version folders. ``_log`` has a file for each commit, named by
+its number: a line of JSON that gives the version in use of every table of the store. An entry is written under another
+name and then renamed to its own, which fails if there is one already; so a commit of several tables happens as a whole
+or not at all, no reader meets a half-written entry, and of two commits planned on one state the second is refused (or,
+if they change other tables, goes after the first). That holds where the file system renames files atomically (HDFS and
+the like, not a plain object store without a commit service). A writer that dies before the rename leaves files that no
+entry names.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from batchwright.functions.failures import is_transient
@@ -48,17 +53,37 @@ class Store:
     spark: SparkSession
     folder: str
 
-    def _path(self, table: str, *more: str) -> str:
-        return "/".join([self.folder.rstrip("/"), table, *more])
+    def _path(self, *parts: str) -> str:
+        return "/".join([self.folder.rstrip("/"), *parts])
+
+    def _hadoop(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def commits(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        where, files = self._hadoop(self._path("_log"))
+        if not files.exists(where):
+            return 0
+        names = (s.getPath().getName() for s in files.listStatus(where))
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
+
+    def versions(self, commit: int | None = None) -> dict[str, str]:
+        """The version in use of every table, after ``commit`` (the last one)."""
+        commit = self.commits() if commit is None else commit
+        if not commit:
+            return {}
+        where, files = self._hadoop(self._path("_log", f"{commit:012d}.json"))
+        stream = files.open(where)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
 
     def version(self, table: str) -> str | None:
         """The version in use; None for a table that was never committed."""
-        try:
-            return self.spark.read.parquet(self._path(table, "_current")).first()["version"]
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
+        return self.versions().get(table)
 
     def read(self, table: str, version: str | None = None) -> DataFrame:
         version = version or self.version(table)
@@ -66,17 +91,41 @@ class Store:
             raise LookupError(f"{table} has no version yet")
         return self.spark.read.parquet(self._path(table, version))
 
+    def _enter(self, number: int, versions: dict[str, str]) -> bool:
+        """Write the log's entry of this number, unless there is one."""
+        jvm = self.spark.sparkContext._jvm
+        draft, files = self._hadoop(self._path("_log", f"_draft-{uuid.uuid4().hex}"))
+        files.mkdirs(draft.getParent())
+        stream = files.create(draft, False)
+        stream.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+        stream.close()
+        place = jvm.org.apache.hadoop.fs.Path(self._path("_log", f"{number:012d}.json"))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else jvm.java.io.File("/").toURI(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, place, options)
+            return True
+        except Py4JJavaError as error:
+            files.delete(draft, False)
+            if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+                return False
+            raise
+
     def commit(self, state: dict[str, DataFrame], planned_on: dict[str, str | None] | None = None, retry: Retry | None = None) -> int:
-        """Write the next state of every table, then use all of them; return the number of retries."""
-        versions, retries = {}, 0
+        """Write the next state of every table and use all of them at once; return the number of retries. Refused if a
+        table in ``planned_on`` (those that were read, too) has another version by now."""
+        written, retries = {}, 0
         for table, df in state.items():
-            versions[table] = f"v-{uuid.uuid4().hex}"
-            retries += with_retry(lambda df=df, t=table: df.write.mode("overwrite").parquet(self._path(t, versions[t])), retry)[1]
-        for table, version in (planned_on or {}).items():
-            if self.version(table) != version:
-                raise VersionConflict(f"{table} was changed by another commit")
-        for table, version in versions.items():
-            pointer = self.spark.range(1).selectExpr(f"'{version}' AS version").coalesce(1)
-            retries += with_retry(lambda p=pointer, t=table: p.write.mode("overwrite").parquet(self._path(t, "_current")), retry)[1]
-            log.info("%s is at %s", table, version)
-        return retries
+            written[table] = f"v-{uuid.uuid4().hex}"
+            retries += with_retry(lambda df=df, t=table: df.write.mode("overwrite").parquet(self._path(t, written[t])), retry)[1]
+        while True:
+            last = self.commits()
+            now = self.versions(last)
+            for table, version in (planned_on or {}).items():
+                if now.get(table) != version:
+                    raise VersionConflict(f"{table} was changed by another commit")
+            entered, again = with_retry(lambda n=last + 1, v={**now, **written}: self._enter(n, v), retry)
+            retries += again
+            if entered:
+                log.info("commit %d: %s", last + 1, ", ".join(sorted(written)))
+                return retries

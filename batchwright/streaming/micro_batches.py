@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from batchwright.model import Model
@@ -20,7 +21,8 @@ def mutate_stream(stream: DataFrame, store: Store, model: Model, name: str, oper
 
     def apply(batch: DataFrame, number: int) -> None:
         version = store.version(name)
-        result = operator(with_index(batch, *order), store.read(name, version), model, name, options=options)
+        target = store.read(name, version) if version else batch.where(F.lit(False))
+        result = operator(with_index(batch, *order), target, model, name, options=options)
         store.commit(result.state, {name: version}, options.retry if options else None)
         if on_result:
             on_result(result, number)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from batchwright.errors import BatchError
 from batchwright.model import Check, Entity, ForeignKey, Model, Navigation
 from batchwright.operators import graph, links
-from batchwright.options import Cascade, Cycles, GraphOptions, LinkInsert, NavigationFilter, Orphans
+from batchwright.options import Cascade, Cycles, DuplicateKey, GraphOptions, LinkInsert, NavigationFilter, Orphans
 from batchwright.queries.graphs import QUERIES
 
 MODEL = Model.of(
@@ -163,3 +163,118 @@ def test_first_roots_with_several_keys_against_one_after_the_other(spark):
             expected.append(root)
     assert sorted(r[0] for r in graph.first_roots(spark.createDataFrame(claims, "root long, key string")).collect()) == expected
     assert "graph_first_claims" not in QUERIES  # it read a fiftieth of the orders and never called first_roots
+
+
+SHOP = Model.of(
+    Entity("shop", ("id",), generated_key=True, uniques=(("name",),), navigations=(Navigation("goods", "good", ("shop_id",)),)),
+    Entity("good", ("id",), generated_key=True, uniques=(("num",),), foreign_keys=(ForeignKey(("shop_id",), "shop", "cascade"),), checks=(Check("price > 0", "price"),), navigations=(Navigation("parts", "part", ("good_id",)),)),
+    Entity("part", ("id",), generated_key=True, foreign_keys=(ForeignKey(("good_id",), "good", "cascade"),)),
+)
+
+
+def shops(spark, stored=()):
+    return {
+        "shop": spark.createDataFrame(list(stored), "id int, name string"),
+        "good": spark.createDataFrame([(7, 70, 5, 1)] if stored else [], "id long, num long, shop_id int, price long"),
+        "part": spark.createDataFrame([], "id long, good_id long"),
+    }
+
+
+def test_new_rows_of_a_graph_get_ids(spark):
+    """Roots and children without keys, several levels down; a failing root takes no id."""
+    frames = {
+        "shop": spark.createDataFrame([(0, 0, "a"), (1, None, "b"), (2, 0, "c"), (3, 0, "d")], "__idx long, id int, name string"),
+        "good": spark.createDataFrame([(0, 0, 1, 0, 0, 1), (1, 0, 2, 0, 0, 1), (2, 0, 3, 0, 1, -1), (3, 0, 4, 0, 3, 1), (4, 9, 5, 0, 3, 1)], "__idx long, id long, num long, shop_id int, __owner long, price long"),
+        "part": spark.createDataFrame([(0, 0, 0), (0, 0, 3), (0, 0, 4), (0, 0, 4)], "id long, good_id long, __owner long"),
+    }
+    result = graph.insert_graph(frames, shops(spark, [(5, "old")]), SHOP, "shop")
+    assert {r["idx"]: (r["entity_id"]["id"], r["status"], r["reason"]) for r in result.outcomes.collect()} == {0: (6, "Success", None), 1: (0, "Failed", "ValidationError"), 2: (7, "Success", None), 3: (8, "Success", None)}
+    goods = {(r["id"], r["num"], r["shop_id"]) for r in result.state["good"].collect()}
+    assert goods == {(7, 70, 5), (10, 1, 6), (11, 2, 6), (12, 4, 8), (9, 5, 8)}
+    assert sorted((r["id"], r["good_id"]) for r in result.state["part"].collect()) == [(1, 10), (2, 12), (3, 9), (4, 9)]
+    assert result.state["shop"].schema == shops(spark)["shop"].schema
+    edges = {(r["parent"], r["entity"], r["id"], r["depth"]) for r in result.hierarchy().collect()}
+    assert {(None, "shop", "6", 0), ("shop 6", "good", "10", 1), ("good 9", "part", "3", 2)} <= edges
+
+
+def test_unique_values_in_graphs(spark):
+    stored = shops(spark, [(5, "old"), (6, "other")])
+    frames = {
+        "shop": spark.createDataFrame([(0, 0, "a"), (1, 0, "a"), (2, 0, "old"), (3, 0, "e"), (4, 0, "f")], "__idx long, id int, name string"),
+        "good": spark.createDataFrame([(0, 0, 70, 0, 3, 1), (1, 0, 8, 0, 4, 1), (2, 0, 8, 0, 4, 1)], "__idx long, id long, num long, shop_id int, __owner long, price long"),
+        "part": stored["part"],
+    }
+    found = graph.insert_graph(frames, stored, SHOP, "shop").outcomes.collect()
+    assert {r["idx"]: r["reason"] for r in found} == {0: None, 1: "DuplicateKey", 2: "DuplicateKey", 3: "DuplicateKey", 4: "DuplicateKey"}
+    frames = {"shop": spark.createDataFrame([(0, 5, "other"), (1, 6, "new"), (2, 6, "other"), (3, 5, "new")], "__idx long, id int, name string"), "good": stored["good"], "part": stored["part"]}
+    found = graph.update_graph(frames, stored, SHOP, "shop", GraphOptions(orphans=Orphans.DETACH)).outcomes.collect()
+    assert {r["idx"]: r["reason"] for r in found} == {0: "DuplicateKey", 1: None, 2: None, 3: "DuplicateKey"}
+
+
+def test_upsert_graph_without_keys(spark):
+    """The second new root of a name is a duplicate; new children of a stored root are inserted."""
+    stored = shops(spark, [(5, "old")])
+    frames = {
+        "shop": spark.createDataFrame([(0, 5, "older"), (1, 0, "n"), (2, 0, "n")], "__idx long, id int, name string"),
+        "good": spark.createDataFrame([(0, 7, 70, 5, None, 2), (1, 0, 71, 0, 0, 1), (2, 0, 72, 0, 0, 1), (3, 0, 73, 0, 1, 1)], "__idx long, id long, num long, shop_id int, __owner long, price long"),
+        "part": stored["part"],
+    }
+    for strategy, last in ((DuplicateKey.FAIL, ("Failed", "DuplicateKey", False)), (DuplicateKey.SKIP, ("Skipped", None, False)), (DuplicateKey.RETRY_AS_UPDATE, ("Failed", "ConcurrencyConflict", True))):
+        result = graph.upsert_graph(frames, stored, SHOP, "shop", GraphOptions(duplicate_key=strategy))
+        found = {r["idx"]: (r["status"], r["reason"], r["retried"]) for r in result.outcomes.collect()}
+        assert found == {0: ("Success", None, False), 1: ("Success", None, False), 2: last}
+        assert sorted((r["id"], r["num"], r["shop_id"]) for r in result.state["good"].collect()) == [(7, 70, 5), (8, 71, 5), (9, 72, 5), (10, 73, 6)]
+        assert sorted((r["id"], r["name"]) for r in result.state["shop"].collect()) == [(5, "older"), (6, "n")]
+
+
+def test_stored_key_is_retried_as_update(spark):
+    model = Model.of(Entity("order", ("id",), navigations=(Navigation("items", "item", ("order_id",)),)), Entity("item", ("id",)))
+    stored = {"order": spark.createDataFrame([(0, "x")], "id long, v string"), "item": spark.createDataFrame([], "id long, order_id long")}
+    frames = {"order": spark.createDataFrame([(0, 0, "y")], "__idx long, id long, v string"), "item": spark.createDataFrame([(3, 0)], "id long, order_id long").limit(0)}
+    result = graph.upsert_graph(frames, stored, model, "order", GraphOptions(duplicate_key=DuplicateKey.RETRY_AS_UPDATE))
+    row = result.outcomes.first()
+    assert (row["operation"], row["status"], row["retried"], row["is_default_key"]) == ("Update", "Success", True, True)
+    assert [r["v"] for r in result.state["order"].collect()] == ["y"]
+
+
+def test_delete_graph_marks_depth_and_repeats(spark):
+    orders = spark.createDataFrame([(1,), (2,)], "id long")
+    stored = {"order": orders, "item": spark.createDataFrame([(10, 1, 1), (11, 1, 1), (20, 2, 1)], "id long, order_id long, qty long"), "note": spark.createDataFrame([(100, 10, "x")], "id long, item_id long, text string")}
+    roots = spark.createDataFrame([(0, 1), (1, 1), (2, 9)], "__idx long, id long")
+    result = graph.delete_graph(roots, stored, MODEL, "order")
+    assert {r["idx"]: r["reason"] for r in result.outcomes.collect()} == {0: None, 1: "ConcurrencyConflict", 2: "ConcurrencyConflict"}
+    assert sorted((r["root"], r["parent"], r["id"], r["depth"]) for r in result.hierarchy().collect() if r["depth"]) == [(0, "item 10", "100", 2), (0, "order 1", "10", 1), (0, "order 1", "11", 1)]
+    assert [r["id"] for r in result.state["item"].collect()] == [20] and result.state["note"].count() == 0
+    strict = Model(MODEL.entities | {"item": Entity("item", ("id",), foreign_keys=(ForeignKey(("order_id",), "order", "restrict"),))})
+    shallow = graph.delete_graph(roots, stored, strict, "order", GraphOptions(max_depth=0))
+    assert shallow.outcomes.where("idx = 0").first()["reason"] == "DatabaseConstraint" and shallow.state["item"].count() == 3
+    with pytest.raises(BatchError, match="2 of item"):
+        graph.delete_graph(roots, stored, MODEL, "order", GraphOptions(cascade=Cascade.THROW))
+
+
+def test_rows_that_delete_each_other_go(spark):
+    rows = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1), (5, None)], "id long, parent long")
+    result = graph.delete_graph(spark.createDataFrame([(0, 2)], "__idx long, id long"), {"node": rows}, TREE, "node")
+    assert [r["id"] for r in result.state["node"].collect()] == [5]
+
+
+def test_long_chains_and_cycles(spark):
+    long = spark.range(3000).selectExpr("id AS node", "if(id = 0, null, id - 1) AS parent")
+    assert {(r["root"], r["node"] - r["depth"]) for r in graph.chain(long).collect()} == {(0, 0)}
+    assert graph.chain(long, 10).count() == 11 and graph.chain(long.limit(0)).count() == 0
+    ring = spark.range(1000).selectExpr("id AS node", "(id + 1) % 1000 AS parent").unionByName(spark.range(1000, 1400).selectExpr("id AS node", "id - 1 AS parent"))
+    assert sorted(r["node"] for r in graph.cycle_nodes(ring.unionByName(long.selectExpr("node + 5000", "parent + 5000").toDF("node", "parent"))).collect()) == list(range(1000))
+    assert graph.cycle_nodes(long).count() == 0
+
+
+def test_payload_of_added_links(spark):
+    stored = spark.createDataFrame([(1, 1, "kept"), (1, 2, "gone")], "a long, b long, note string")
+    wanted = spark.createDataFrame([(0, 1, 1, "no"), (0, 1, 3, "new")], "__root long, a long, b long, note string")
+    change = links.changes(stored, wanted, ("a",), ("b",))
+    assert sorted(map(tuple, links.apply_changes(stored, change, ("a",), ("b",), wanted).collect())) == [(1, 1, "kept"), (1, 3, "new")]
+
+
+def test_depth_with_links_is_bounded():
+    with pytest.raises(ValueError):
+        GraphOptions(max_depth=101, include_links=True)
+    assert GraphOptions(max_depth=101).depth == 100

@@ -11,6 +11,8 @@ from batchwright.model import Check, Entity, ForeignKey, Model
 from batchwright.operators import flat
 from batchwright.operators.partition import with_chunk
 from batchwright.options import Detail, DuplicateKey, Options, Retry, Strategy, UpsertOptions
+from batchwright.plans.claims import losers
+from batchwright.plans.components import components
 from batchwright.plans.constraints import first_of
 
 PRODUCT = Entity("product", ("id",), uniques=(("code",),), checks=(Check("price > 0", "the price must be over 0"),), foreign_keys=(ForeignKey(("category",), "category"),))
@@ -206,3 +208,56 @@ def test_cancellation(spark):
     result = not_attempted(flat.insert(frame(spark, [(0, 1, 1, 2.0)], "__idx long, a long, b long, price double"), frame(spark, [], "a long, b long, price double"), MODEL, "line"))
     m = result.metrics().first()
     assert (m["was_cancelled"], m["total_processed"], m["not_attempted_count"]) == (True, 0, 1)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 160)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(80):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    for in_task in (1000, 0):
+        found = components(spark.createDataFrame([*edges, (None, 1)], "u long, v long"), in_task)
+        assert {r["node"]: r["label"] for r in found.collect()} == {k: v for k, v in label.items() if k not in alone}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("in_task", [1_000_000, 50, 3])
+def test_losers_against_going_through_in_order(spark, in_task):
+    """In one task, split into components, and with components that no task holds."""
+    rng = random.Random(17)
+    claims = {(r, f"k{rng.randrange(120)}"): f"o{r if rng.random() < 0.8 else rng.randrange(5)}" for r in range(150) for _ in range(rng.randrange(1, 4))}
+    claims |= {(1000 + i, f"c{k}"): f"x{i}" for i in range(60) for k in (i, i + 1)}
+    holder, lost = {}, set()
+    for root in sorted({r for r, _ in claims}):
+        own = {k: o for (r, k), o in claims.items() if r == root}
+        if all(holder.get(k, o) == o for k, o in own.items()):
+            holder.update(own)
+        else:
+            lost.add(root)
+    rows = [(r, k, o) for (r, k), o in claims.items()]
+    found = losers(spark.createDataFrame([*rows, rows[0], (5, None, "o")], "root long, key string, owner string"), in_task=in_task)
+    assert sorted(r["root"] for r in found.collect()) == sorted(lost)
+    assert losers(spark.createDataFrame([], "root long, key string, owner string")).count() == 0
+
+
+UNIQUE = Model.of(Entity("p", ("id",), uniques=(("code",), ("name",)), generated_key=True))
+
+
+def test_updates_and_inserts_want_one_value(spark):
+    stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "id long, code string, name string")
+    batch = spark.createDataFrame([(0, 1, "n", "x"), (1, 2, "n", "q"), (2, 1, "n", "w"), (3, 0, "m", "v"), (4, 3, "m", "z"), (5, 3, "b", "z"), (6, 0, "m", "u"), (7, 0, "f", None)], "__idx long, id long, code string, name string")
+    found = {r["idx"]: (r["status"], r["reason"]) for r in flat.upsert(batch, stored, UNIQUE, "p").outcomes.collect()}
+    good, twice = ("Success", None), ("Failed", "DuplicateKey")
+    assert found == {0: good, 1: twice, 2: good, 3: good, 4: twice, 5: twice, 6: twice, 7: good}
+
+
+def test_null_tokens_and_null_parts_of_keys(spark):
+    model = Model.of(Entity("t", ("a", "b"), tokens=("v",)))
+    stored = spark.createDataFrame([(1, 1, None, 5), (1, 2, 7, 5)], "a long, b long, v long, x long")
+    batch = spark.createDataFrame([(0, 1, 1, None, 6), (1, 1, 2, None, 6), (2, 1, None, 7, 6)], "__idx long, a long, b long, v long, x long")
+    found = {r["idx"]: (r["reason"], r["message"]) for r in flat.update(batch, stored, model, "t").outcomes.collect()}
+    assert found[0] == (None, None) and found[1][0] == "ConcurrencyConflict" and found[2] == ("ValidationError", "the key column b of t is null")
+    assert [(r["a"], r["b"]) for r in flat.delete(batch, stored, model, "t").state["t"].collect()] == [(1, 2)]

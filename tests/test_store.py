@@ -2,6 +2,7 @@
 
 import pytest
 
+from batchwright.cancellation import Cancellation
 from batchwright.model import Check, Entity, Model
 from batchwright.operators import flat
 from batchwright.options import Retry
@@ -28,6 +29,63 @@ def test_commit_and_conflict(spark, tmp_path):
         store.commit({"t": store.read("t")}, {"t": first})
 
 
+def test_commits_are_whole_and_ordered(spark, tmp_path):
+    import threading
+
+    store = Store(spark, f"file://{tmp_path}")
+    frame = lambda v: spark.createDataFrame([(1, v)], "id long, v long")
+    store.commit({"t": frame(0), "u": frame(0)})
+    seen, stop = [], threading.Event()
+
+    def look():
+        while not stop.is_set():
+            versions = store.versions()
+            seen.append((versions["t"], versions["u"]))
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    states = [store.versions()]
+    for v in range(1, 4):
+        store.commit({"t": frame(v), "u": frame(v)})
+        states.append(store.versions())
+    stop.set()
+    reader.join()
+    assert set(seen) <= {(s["t"], s["u"]) for s in states} and store.commits() == 4
+    # A writer that died before its entry: files that no entry names.
+    frame(9).write.parquet(f"file://{tmp_path}/t/v-lost")
+    (tmp_path / "_log" / "_draft-lost").write_text("{")
+    assert store.commits() == 4 and store.read("t").first()["v"] == 3
+
+
+def test_commits_planned_on_one_state(spark, tmp_path, monkeypatch):
+    """Another commit takes the number while this one is being written: refused if it changed what was read."""
+    store = Store(spark, f"file://{tmp_path}")
+    frame = spark.createDataFrame([(1, 1)], "id long, v long")
+    store.commit({"t": frame, "u": frame})
+    planned, enter = store.versions(), Store._enter
+    rivals = [lambda: enter(store, 2, {**planned, "u": "v-rival"})]
+    monkeypatch.setattr(Store, "_enter", lambda self, *a: (rivals.pop(0)() if rivals else None, enter(self, *a))[1])
+    store.commit({"t": frame}, {"t": planned["t"]})  # the rival changed another table: this one comes after it
+    assert store.commits() == 3 and store.versions()["u"] == "v-rival"
+    rivals.append(lambda: enter(store, 4, {**store.versions(), "t": "v-rival"}))
+    with pytest.raises(VersionConflict):
+        store.commit({"u": frame}, {"t": store.versions()["t"]})  # the rival changed a table that was only read
+    assert store.versions()["t"] == "v-rival"
+
+
+def test_writer_starts_an_empty_store_and_can_be_stopped(spark, tmp_path):
+    store, cancellation = Store(spark, f"file://{tmp_path}"), Cancellation(spark)
+    rows = spark.createDataFrame([(2, 1), (2, 2), (3, -1)], "id long, v long")
+    writer = BatchWriter(store, MODEL, "t", cancellation)
+    first = writer.insert(rows)
+    assert [r["id"] for r in store.read("t").collect()] == [2]
+    summary = first.summary().first()
+    assert summary["duration_seconds"] > 0 and (summary["round_trips"], summary["total_retries"], summary["success_count"]) == (1, 0, 1)
+    cancellation.cancel()
+    stopped = writer.insert(rows)
+    assert stopped.metrics().first()["not_attempted_count"] == 3 and store.commits() == 1
+
+
 def test_retry():
     calls, pauses = [], []
 
