@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,14 @@ from batchwright.session import materialize, ship_package
 #: The white space of words and of normalised texts: [\x20\x09-\x0D].
 SPACE = "\t\n\x0b\x0c\r "
 TO_SPACE = {ord(c): " " for c in SPACE}
+#: A row's number is the number of its file and, in so many bits, its place there.
+ROW_BITS = 40
+#: The beginning of a path without a host, which Spark writes with one or three slashes.
+NO_HOST = re.compile(r"^([A-Za-z0-9+.-]+):///")
+#: Spark's setting of the bytes of an Arrow batch, and its default.
+BATCH_SETTING, SPARKS_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Tables of more rows than this are never broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -23,18 +35,83 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_arrow(df: DataFrame, function, schema: str, **options) -> DataFrame:
-    """mapInArrow with the package sent along."""
+#: What a Python worker keeps between tasks, by operator: functions that let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """Say how to let go of what tasks of ``operator`` keep for the next ones."""
+    _kept[operator] = forget
+
+
+def forget_others(operator: str | None = None) -> None:
+    for name, forget in _kept.items():
+        if name != operator:
+            forget()
+
+
+def map_arrow(df: DataFrame, function, schema: str, operator: str | None = None, **options) -> DataFrame:
+    """mapInArrow with the package sent along. A worker that has served another operator forgets what that one keeps
+    (``keeps``). Batches are bounded in bytes, unless the session says how: at Spark's
+    default a task holds batches of long texts several times over."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema, **options)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) == SPARKS_BATCH:
+        conf.set(BATCH_SETTING, "4m")
+
+    def run(batches):
+        forget_others(operator)
+        return function(batches)
+
+    return df.mapInArrow(run, schema, **options)
+
+
+def _place(docs: DataFrame) -> Column:
+    return docs.metadataColumn("_metadata")["row_index"]
 
 
 def stable(docs: DataFrame) -> DataFrame:
-    """``docs``, if it reads files and no more than projects and filters them, so that every reading gives the same
-    rows in the same partitions and row numbers can be joined on; else what it gives now, written as a table."""
+    """``docs``, if it reads Parquet files and at most filters them, so that a row can be told by its file and its place
+    there in every reading; else what it gives now, written as a table."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     nodes = {line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
-    return docs if nodes <= {"Relation", "Project", "Filter"} else materialize(docs, "stable")
+    if nodes <= {"Relation", "Filter"}:
+        try:
+            docs.select(_place(docs))
+            return docs
+        except AnalysisException:
+            pass
+    return materialize(docs, "stable")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` (as ``stable`` gives it) with a number for each row: the same in every reading, however the files are
+    split. The list of files, which the driver holds to plan the reading, is joined by broadcast."""
+    files = sorted(docs.inputFiles())
+    place = _place(docs)
+    if len(files) <= 1:
+        return docs.withColumn(name, place)
+    path, number = fresh(docs, "__path"), fresh(docs, "__file")
+    numbers = docs.sparkSession.createDataFrame([(NO_HOST.sub(r"\1:/", f), i << ROW_BITS) for i, f in enumerate(files)], f"`{path}` string, `{number}` long")
+    read_from = F.regexp_replace(docs.metadataColumn("_metadata")["file_path"], NO_HOST.pattern, "$1:/")
+    numbered = docs.withColumns({path: read_from, name: place}).join(F.broadcast(numbers), path, "left")
+    known = F.coalesce(F.col(number), F.raise_error(F.concat(F.lit("no number for the file "), F.col(path))).cast("long"))
+    return numbered.withColumn(name, F.col(name) + known).select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.col(name))
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, row: str, how: str) -> DataFrame:
+    """``docs`` joined with ``rows`` (a written table, a row for each ``row`` at most). Up to a number of rows that is
+    counted here they are broadcast, so that texts stay where they are read; beyond it both sides are shuffled."""
+    small = rows.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(rows) if small else rows.hint("shuffle_merge"), row, how)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -9,8 +9,8 @@ lists of identifiers are; only these lists move, not the texts.
 Defined cases: a null text counts as empty, and empty texts are equal; a null doc_id comes after every other one
 in ties; of repeated rows one stays; an empty table gives none; other columns are ignored. The group of a text
 that a third of the rows share is counted with partial aggregation, and the join back to the rows is one that
-Spark's adaptive execution splits. ``docs`` that isn't a plain
-reading of files is written as a table first, so that row numbers stay the same.
+Spark's adaptive execution splits. ``docs`` that isn't a plain reading of Parquet files is written as a table first, so
+that a row can be told by its place.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import SPACE, map_arrow, stable, text_or_empty
+from batchwright.llm.common import SPACE, fresh, join_rows, map_arrow, stable, text_or_empty, with_row
 from batchwright.session import materialize
 
 DELETE = SPACE.encode()
@@ -63,7 +63,7 @@ def cuts(data: bytes, mean: int, least: int, most: int) -> list[int]:
 
 
 def recipes(docs: DataFrame, mean: int = 4096, key_bytes: int = 16, with_chunks: bool = False) -> DataFrame:
-    """doc_id, row (an id of the row), n_chars, text_sha256, keys (digests of the chunks in order), chunks (their bytes)."""
+    """doc_id, row (its number), n_chars, text_sha256, keys (digests of the chunks in order), chunks (their bytes)."""
     least, most = max(WINDOW, mean // 4), mean * 8
 
     def run(batches):
@@ -81,7 +81,8 @@ def recipes(docs: DataFrame, mean: int = 4096, key_bytes: int = 16, with_chunks:
                 names=["doc_id", "row", "n_chars", "text_sha256", "keys", "chunks"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    row = fresh(docs, "row")
+    rows = with_row(docs, row).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), text_or_empty().alias("text"))
     return map_arrow(rows.withColumn("n_chars", F.char_length("text").cast("long")), run, "doc_id long, row long, n_chars long, text_sha256 string, keys array<binary>, chunks array<binary>")
 
 
@@ -132,5 +133,6 @@ def exact_duplicates(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) ->
 def keep_first_copies(docs: DataFrame, mean: int = 4096, key_bytes: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     docs = stable(docs)
-    dropped = exact_duplicates(docs, mean, key_bytes).where("not kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    row = fresh(docs, "__row")
+    dropped = exact_duplicates(docs, mean, key_bytes).where("not kept").select(F.col("row").alias(row))
+    return join_rows(with_row(docs, row), materialize(dropped, "exact-dropped"), row, "left_anti").drop(row)

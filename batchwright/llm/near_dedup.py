@@ -14,8 +14,8 @@
 
 Defined cases: a null text is empty; texts without a word are copies of each other and have similarity 1; a text with
 fewer than five words is one run; a null doc_id is later than any other; repeated rows are copies; an empty table
-gives no rows; other columns are ignored. ``docs`` that isn't a plain
-reading of files is written as a table first, so that row numbers stay the same.
+gives no rows; other columns are ignored. ``docs`` that isn't a plain reading of Parquet files is written as a table first,
+so that a row can be told by its place.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, stable, text_or_empty, words_of
-from batchwright.llm.components import components
+from batchwright.llm.common import fresh, join_rows, map_arrow, stable, text_or_empty, with_row, words_of
+from batchwright.plans.components import components
 from batchwright.llm.shingles import WordHashes, mix, shingles
 from batchwright.llm.words import slices
 from batchwright.session import materialize, ship_package
@@ -226,15 +226,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tole
     A class is a connected group of similar documents; class_id is its least doc_id, and that row is kept. n_links
     counts the other documents at or above the threshold, n_copies those among them with the same set, n_text_links
     the other sets. ``block_nodes`` and ``block_runs`` bound what one task of a large cluster holds."""
-    rows = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    docs = stable(docs)
+    number = fresh(docs, "row")
+    rows = with_row(docs, number).select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     marks = materialize(sets_of(rows, size, True), "near-marks")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     nodes = materialize(marks.groupBy("set_key").agg(F.min("row").alias("node"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("set_size").alias("set_size"), F.first("payload").alias("signature")), "near-nodes")
     clusters = components(candidate_links(nodes))
     sized = clusters.join(nodes.select("node", "copies", "signature", "set_size"), "node")
     extent = clusters.join(nodes.select("node", "set_size"), "node").groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("set_size") / block_runs)).cast("int").alias("blocks"))
-    wanted = sized.join(extent, "label").select(F.col("node").alias("row"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "copies", "signature")
-    texts = rows.join(wanted, "row")
+    wanted = materialize(sized.join(extent, "label").select(F.col("node").alias("row"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "copies", "signature"), "near-wanted")
+    # Where the numbers of the rows can be broadcast, no other text is moved.
+    texts = join_rows(rows, wanted.select("row"), "row", "left_semi").join(wanted.hint("shuffle_merge"), "row")
     members = materialize(
         sets_of(texts, size, False, ("cluster", "blocks", "block", "copies", "signature")).select("cluster", "blocks", "block", F.col("row").alias("node"), "copies", "signature", F.col("payload").alias("members")), "near-members"
     )
@@ -259,5 +262,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tole
 def keep_one_of_each(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     docs = stable(docs)
-    dropped = near_duplicates(docs, **limits).where("not kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    row = fresh(docs, "__row")
+    dropped = near_duplicates(docs, **limits).where("not kept").select(F.col("row").alias(row))
+    return join_rows(with_row(docs, row), materialize(dropped, "near-dropped"), row, "left_anti").drop(row)

@@ -7,15 +7,14 @@ offset and length within that frame's content, so that one record is read by one
 
 Records of equal payloads: the one with the smallest page_id (nulls last, then the earlier row) is the response,
 others are revisits that refer to it, if the payload has at least ``least_bytes``. Digests are compared first, apart
-from the payloads; each payload moves once, to its writer.
+from the payloads. Where the revisits are few enough to be broadcast (they are counted) no payload moves at all.
 
 Bundles are written through pyarrow's file systems into the shared folder, under names that hold the task's attempt;
 only those in the index of tasks that ended well count, so tasks may fail and run again.
 
 Defined cases: null html is an empty payload; a null page_id is written as ``null`` and read back as null; repeated
 rows are records of their own; an empty table gives an empty index and no bundle; other columns are ignored.
-``pages`` that isn't a plain
-reading of files is written as a table first, so that row numbers stay the same.
+``pages`` that isn't a plain reading of Parquet files is written as a table first, so that a row can be told by its place.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, stable, text_or_empty
+from batchwright.llm.common import fresh, join_rows, map_arrow, stable, text_or_empty, with_row
 from batchwright.session import materialize, new_path
 
 # Fixed values of the seekable format.
@@ -148,7 +147,8 @@ def _file_system(uri: str):
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """row, original_id, original_row of each row that is a revisit. No payload is shuffled."""
     html = F.encode(text_or_empty("html"), "utf-8")
-    marks = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least_bytes)
+    row = fresh(pages, "row")
+    marks = with_row(pages, row).select(F.col("page_id").cast("long").alias("page_id"), F.col(row).alias("row"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("size")).where(F.col("size") >= least_bytes)
     first = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")
     groups = marks.groupBy("digest", "size").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return marks.join(groups, ["digest", "size"]).where(F.col("row") != F.col("first.row")).select("row", F.col("first.page_id").alias("original_id"), F.col("first.row").alias("original_row"))
@@ -159,8 +159,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     pages = stable(pages)
     folder = folder or new_path(pages.sparkSession, "warc")
     uri = folder if "://" in folder else f"file://{folder}"
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), text_or_empty("url").alias("url"), F.encode(text_or_empty("html"), "utf-8").alias("payload"))
-    work = rows.join(plan(pages, least_bytes), "row", "left").select("row", "page_id", "url", "payload", "original_id", "original_row")
+    number = fresh(pages, "row")
+    rows = with_row(pages, number).select(F.col("page_id").cast("long").alias("page_id"), F.col(number).alias("row"), text_or_empty("url").alias("url"), F.encode(text_or_empty("html"), "utf-8").alias("payload"))
+    work = join_rows(rows, materialize(plan(pages, least_bytes), "warc-plan"), "row", "left").select("row", "page_id", "url", "payload", "original_id", "original_row")
 
     def write(batches):
         files, path = _file_system(uri)

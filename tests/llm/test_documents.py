@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from batchwright.llm import components, exact_dedup, near_dedup, quality, toxicity
+from batchwright.llm import common, exact_dedup, near_dedup, quality, toxicity
 from batchwright.llm.shingles import WordHashes, runs_repeated
 
 SPACES = re.compile("[\x20\x09-\x0d]+")
@@ -106,6 +106,26 @@ def test_near_duplicates_with_empty_blocks(spark):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in found) == [(i, i - i % 2, 1, 1) for i in range(24)]
 
 
+def test_loose_clusters_are_taken_bucket_by_bucket(spark, monkeypatch):
+    """Chains of texts, each like the next one only: a cluster of many nodes, most of whose pairs share no bucket."""
+    rng, rows = random.Random(16), []
+    for _ in range(2):
+        words = prose(rng, 60).split(" ")
+        for i in range(250):
+            words = [*words[3:], *prose(rng, 3).split(" ")] if i % 5 else [*words[1:], prose(rng, 1)]
+            rows.append((len(rows), " ".join(words)))
+    links = similar([shingle_set(t) for _, t in rows])
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in (i, *links[i])) for i in range(len(rows))]
+    bands = []
+    monkeypatch.setattr(near_dedup, "verified_links", lambda members, *rest, f=near_dedup.verified_links: (bands.append(members.where("band >= 0").count()), f(members, *rest))[1])
+    for block in (8, 3):
+        found = near_dedup.near_duplicates(frame(spark, rows), block_nodes=block).collect()
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == sorted((i, label[i], len(links[i])) for i in range(len(rows)))
+    assert all(bands)
+
+
 def test_near_duplicates_with_nulls_and_none(spark):
     rows = corpus()
     found = near_dedup.near_duplicates(frame(spark, rows)).collect()
@@ -123,19 +143,6 @@ def test_pruning_keeps_pairs_at_the_threshold():
         assert (rng.binomial(n, 0.8, 20000) < least).mean() < 1e-3
 
 
-def test_components(spark):
-    rng = random.Random(5)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 160)]
-    label = {x: x for e in edges for x in e}
-    for _ in range(80):
-        for a, b in edges:
-            label[a] = label[b] = min(label[a], label[b])
-    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
-    found = components.components(spark.createDataFrame(edges, "u long, v long"))
-    assert {r["node"]: r["label"] for r in found.collect()} == {k: v for k, v in label.items() if k not in alone}
-    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
-
-
 def repeated_words(words):
     seen, cover = {}, set()
     for i in range(len(words) - 7):
@@ -200,6 +207,76 @@ def test_different_documents_around_long_lines_count_one_by_one(spark):
     assert all(r["kept"] and not r["removed_words"] for i, r in found.items() if i >= 300)
 
 
+def normal(line):
+    return " ".join(w for w in SPACES.split(line) if w).lower().translate({ord(c): "0" for c in "123456789"})
+
+
+def test_line_counts_against_brute_force(spark):
+    rng = random.Random(14)
+    lines = [prose(rng, rng.randrange(1, 6)) for _ in range(30)] + ["Page 12 of 40", "page  77 OF 40"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 6))), f"h{i % 3}") for i in range(200)]
+    rows += [(i, t, s) for i, t, s in rows[:50]] + [(900, None, "h0"), (901, "", None)]
+    texts = {}
+    for _, t, s in rows:
+        t = t or ""
+        document = tuple(w for w in SPACES.split(t) if w)
+        for line in {normal(x) for x in t.split("\n")} - {""}:
+            texts.setdefault((s or "", line), set()).add(document)
+    measures = quality.measure(quality.stable(frame(spark, rows)))
+    counted = quality.line_counts(measures.select("host", "document", F.explode("lines.line").alias("line"))).collect()
+    expected = sorted((s, quality.line_hash(line.split(" ")), len(d)) for (s, line), d in texts.items())
+    assert sorted((r["host"], r["line"], r["documents"]) for r in counted) == expected
+
+
+def test_documents_of_shared_lines_are_rejected(spark):
+    """60 documents with 60 of 68 words in the same five lines, beside 60 clean ones on the host."""
+    rng = random.Random(15)
+    shared = "\n".join(prose(rng, 12) for _ in range(5))
+    rows = [(i, f"{shared}\n{prose(rng, 8)}", "a") for i in range(60)] + [(100 + i, prose(rng, 70), "a") for i in range(60)]
+    found = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert all(found[i]["removed_words"] == 60 and not found[i]["kept"] for i in range(60))
+    assert all(found[100 + i]["kept"] for i in range(60))
+
+
+def test_rows_are_told_apart_however_files_are_split(spark, tmp_path):
+    rows = [(i % 50, t) for i, (_, t) in enumerate(corpus(8) * 3)]
+    path = f"file://{tmp_path}/a b%20c"
+    frame(spark, rows).write.option("parquet.block.size", 4096).parquet(path)
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "8k", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(path)
+            assert common.stable(docs) is docs
+            numbered = common.with_row(docs, "n").select("n", "doc_id", "text").collect()
+            assert len({r["n"] for r in numbered}) == len(rows)
+            exact = exact_dedup.exact_duplicates(docs).select("row", "doc_id", "keep_id", "kept").collect()
+            near = near_dedup.near_duplicates(docs).select("row", "doc_id", "class_id", "kept").collect()
+            rules = quality.judge(docs).select("row", "doc_id", "n_words", "kept").collect()
+            kept = [sorted(map(str, f(docs).select("doc_id", "text").collect())) for f in (exact_dedup.keep_first_copies, near_dedup.keep_one_of_each, quality.keep_good)]
+            found.append([sorted(map(str, x)) for x in (numbered, exact, near, rules)] + kept)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2]
+    assert common.stable(docs.select("doc_id")) is not docs
+
+
+def test_filters_keep_columns_with_clashing_names(spark):
+    rows = corpus()
+    docs = frame(spark, rows).withColumns({c: F.lit(7) for c in ("__row", "__removed", "__kept", "__path", "__file", "document", "line")})
+    for keep in (exact_dedup.keep_first_copies, near_dedup.keep_one_of_each, quality.keep_good):
+        kept = keep(docs)
+        assert kept.columns == docs.columns and kept.where("__row = 7 and __removed = 7 and row = 3").count() == kept.count() > 0
+
+
+def test_few_rows_are_broadcast_and_many_are_not(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    first = sorted(map(str, exact_dedup.keep_first_copies(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, exact_dedup.keep_first_copies(docs).collect())) == first
+
+
 def test_either_condition_rejects(spark):
     rng = random.Random(12)
     long, short = prose(rng, 100), prose(rng, 12)
