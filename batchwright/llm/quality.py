@@ -1,42 +1,37 @@
 """Quality rules: frequency of lines over the documents of a host.
 
 Lines are normalised (lower case, one space between words, digits as 0) and hashed. For each host the distinct
-documents of a line are counted. A line in more of them than both limits (a number, and a share of the host's
-documents) is removed; a document that loses most of its words or has few left is rejected. Two rules on single texts come first:
-too few words, and too large a share of words in repeated runs of eight.
+documents of a line are counted: rows of one text (the same words in the same order) are one document. A line in more of
+them than both limits (a number, and a share of the host's documents) is removed; a document that loses most of its words
+or has few left is rejected. Two rules on single texts come first: too few words, and too large a share of words in
+repeated runs of eight.
 
-The documents of a line are told apart by what they hold besides it: by four least hashes of the runs of five words
-that begin outside of the line and of the lines already found too frequent. So copies and near copies of one text count
-about once (a clean text doesn't become boilerplate by being copied), and different texts around a long line count one
-by one. Lines are found in rounds until none is new, as a second shared line makes documents look alike until it is
-found. Documents with fewer than five words besides a line count as one for it.
+By that count alone the near copies of a clean text would make boilerplate of each other, and all be rejected. So the
+documents that would be rejected for their lines are held against each other once more, as the near-duplicate join does
+it: those of one class (a similarity of ``copied`` or more) count as one document, and the frequent lines are counted again.
 
 Defined cases: a null text is empty and fails the base rules; a null host is the host ''; a null doc_id stays null;
-repeated rows are judged alike; an empty table gives no rows; other columns are ignored. A line that a third of the
-rows share is counted by partial aggregation over (host, line, document) and joined by a join that adaptive
-execution splits. ``docs`` that isn't a plain
-reading of files is written as a table first, so that row numbers stay the same.
+repeated rows are one document and judged alike; an empty table gives no rows; other columns are ignored by ``judge`` and
+kept by ``keep_good``, whatever their names. A line that a third of the rows share is counted by partial aggregation over
+(host, line, document) and joined by a join that adaptive execution splits. ``docs`` that isn't a plain reading of
+Parquet files is written as a table first, so that a row can be told by its place.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, stable, text_or_empty, words_of
-from batchwright.llm.shingles import MIX, WordHashes, mix, runs_repeated, shingles
+from batchwright.llm import near_dedup
+from batchwright.llm.common import fresh, join_rows, map_arrow, stable, text_or_empty, with_row, words_of
+from batchwright.llm.shingles import WordHashes, runs_repeated
 from batchwright.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 DIGITS = {ord(c): "0" for c in "123456789"}
-MEASURES = "doc_id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, document long, lines array<struct<line: long, words: int, times: int, rest: long, least: binary>>"
-#: Odd factors, one for each least hash.
-FACTORS = np.array([[1], [0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93]], np.uint64)
-#: Fewer words than this besides a line don't tell documents apart.
-TELLING = 5
+MEASURES = "doc_id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, document long, lines array<struct<line: long, words: int>>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -44,132 +39,105 @@ def line_hash(line_words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(line_words).lower().translate(DIGITS).encode()) - (1 << 63)
 
 
-def least_hashes(numbers: np.ndarray, starts: list[int], which: list[int], n: int) -> np.ndarray:
-    """(n lines, hashes): the least hashes of the runs that begin in each line. ``which`` line begins at each start."""
-    runs = shingles(numbers)
-    hashes = np.full((len(FACTORS), len(numbers)), np.iinfo(np.uint64).max)
-    hashes[:, : len(runs)] = runs * FACTORS
-    least = np.full((n, len(FACTORS)), np.iinfo(np.uint64).max)
-    np.minimum.at(least, which, np.minimum.reduceat(hashes, starts, axis=1).T)
-    return least
-
-
-def rests(least: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """For each line a hash of the least hashes of all other lines; 0 if they have too few words."""
-    out = np.zeros(len(words), np.int64)
-    if len(words) > 1:
-        two = np.partition(least, 1, axis=0)[:2]
-        others = np.where(np.arange(len(words))[:, None] == least.argmin(axis=0), two[1], two[0])
-        h = np.zeros(len(words), np.uint64)
-        for column in others.T:
-            h = mix(h * MIX + column)
-        out = np.where(words.sum() - words < TELLING, 0, h.astype(np.int64))
-    return out
-
-
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Of each row the base measures, and its distinct lines with their words, how often they occur, what is besides
-    them (``rests``) and their least hashes. ``document`` is a hash of the words in their order."""
+    """Of each row the base measures, and its distinct lines with their words (of all their occurrences together).
+    ``document`` is a hash of the words in their order. ``docs`` is as ``stable`` gives it."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             base, document, lines = [], [], []
             for text in b.column(3).to_pylist():
-                seen, words, found, dup, starts, which = set(), [], {}, 0, [], []
+                seen, words, found, dup = set(), [], {}, 0
                 for line in text.split("\n"):
                     own = words_of(line)
                     if own:
                         dup += line in seen
                         seen.add(line)
-                        starts.append(len(words))
                         words += own
-                        entry = found.setdefault(line_hash(own), [len(own), 0, len(found)])
-                        entry[1] += 1
-                        which.append(entry[2])
+                        h = line_hash(own)
+                        found[h] = found.get(h, 0) + len(own)
                 numbers = hashes.of(words)
                 base.append((len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, runs_repeated(numbers)))
                 document.append(xxhash.xxh3_64_intdigest(numbers.tobytes()) - (1 << 63))
-                if words:
-                    least = least_hashes(numbers, starts, which, len(found))
-                    rest = rests(least, np.array([w * n for w, n, _ in found.values()])).tolist()
-                lines.append([{"line": k, "words": w, "times": n, "rest": rest[i], "least": least[i].tobytes()} for k, (w, n, i) in found.items()])
+                lines.append([{"line": k, "words": w} for k, w in found.items()])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), *(pa.array([r[i] for r in base], pa.int64()) for i in range(5)), pa.array(document, pa.int64()), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("times", pa.int32()), ("rest", pa.int64()), ("least", pa.binary())])))],
+                [b.column(0), b.column(1), b.column(2), *(pa.array([r[i] for r in base], pa.int64()) for i in range(5)), pa.array(document, pa.int64()), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())])))],
                 names=["doc_id", "row", "host", *BASE, "document", "lines"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(host).alias("host"), text_or_empty().alias("text"))
+    row = fresh(docs, "row")
+    rows = with_row(docs, row).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), text_or_empty(host).alias("host"), text_or_empty().alias("text"))
     return map_arrow(rows, run, MEASURES)
 
 
-def removals(measures: DataFrame, frequent: DataFrame) -> DataFrame:
-    """row, removed_words, removed_lines of the rows with a frequent line."""
-    lines = measures.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.line").alias("line"), (F.col("l.words") * F.col("l.times")).cast("long").alias("words"))
-    return lines.join(frequent.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(host, line, documents): the distinct documents of each line of ``lines`` (host, line, document)."""
+    return lines.select("host", "line", "document").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def rests_without(touched: DataFrame) -> DataFrame:
-    """(host, line, rest) of the lines of ``touched`` (host, lines, removed_lines) that aren't removed, by what is
-    besides them and the removed ones."""
+def _frequent(lines: DataFrame, hosts: DataFrame, least_documents: int, least_share: float) -> DataFrame:
+    counts = line_counts(lines).where(F.col("documents") > least_documents).join(hosts, "host")
+    return counts.where(F.col("documents") > least_share * F.col("of")).select("host", "line", "documents")
 
-    def run(batches):
-        for b in batches:
-            hosts, keys, found = [], [], []
-            for host, lines, removed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                removed = set(removed)
-                own = [x for x in lines if x["line"] not in removed]
-                if own:
-                    least = np.frombuffer(b"".join(x["least"] for x in own), np.uint64).reshape(len(own), -1)
-                    hosts += [host] * len(own)
-                    keys += [x["line"] for x in own]
-                    found += rests(least, np.array([x["words"] * x["times"] for x in own])).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.int64())], names=["host", "line", "rest"])
-
-    return map_arrow(touched.select("host", "lines", "removed_lines"), run, "host string, line long, rest long")
-
-
-def frequent_lines(measures: DataFrame, least_documents: int = 20, least_share: float = 0.01) -> DataFrame:
-    """(host, line, documents) of the lines above both limits."""
-    hosts = measures.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
 
-    def above(spread: DataFrame) -> DataFrame:
-        counts = spread.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > least_documents)
-        return counts.join(hosts, "host").where(F.col("documents") > least_share * F.col("of")).select("host", "line", "documents")
+def _removals(held: DataFrame) -> DataFrame:
+    """row, removed_words, removed_lines from the frequent lines that rows hold."""
+    return held.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
 
-    def rests_of(rows: DataFrame) -> DataFrame:
-        return rows.select("host", F.explode("lines").alias("l")).select("host", F.col("l.line").alias("line"), F.col("l.rest").alias("rest"))
 
-    found = new = materialize(above(rests_of(measures)), "quality-lines")
-    while not new.isEmpty():
-        removed = materialize(removals(measures, found).select("row", "removed_lines"), "quality-removed")
-        untouched = rests_of(measures.join(removed, "row", "left_anti"))
-        new = materialize(above(untouched.unionByName(rests_without(measures.join(removed, "row")))).join(found, ["host", "line"], "left_anti"), "quality-lines")
-        found = found.unionByName(new)
-    return found
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, host: str = "source", least_documents: int = 20, least_share: float = 0.01, least_words: int = 20, most_removed: float = 0.5) -> DataFrame:
+def _depleted(least_words: int, most_removed: float) -> Column:
+    gone = F.col("removed_words")
+    return (gone > 0) & ((F.col("n_words") - gone < least_words) | (gone > most_removed * F.col("n_words")))
+
+
+def frequent_lines(measures: DataFrame, least_documents: int = 20, least_share: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(host, line, documents) of the lines above both limits, and (row, host, line, words, document) of the rows that
+    hold them, both as tables."""
+    lines = measures.select("row", "host", "document", F.explode("lines").alias("l")).select("row", "host", F.col("l.line").alias("line"), F.col("l.words").cast("long").alias("words"), "document")
+    hosts = measures.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    found = materialize(_frequent(lines, hosts, least_documents, least_share), "quality-lines")
+    # The same join at every size: what a broadcast saves on small tables says nothing of large ones.
+    held = materialize(lines.join(found.select("host", "line").hint("shuffle_merge"), ["host", "line"]), "quality-held")
+    return found, held
+
+
+def judge(docs: DataFrame, host: str = "source", least_documents: int = 20, least_share: float = 0.01, least_words: int = 20, most_removed: float = 0.5, copied: float = 0.9) -> DataFrame:
     """doc_id, row, the base measures, base_failed, removed_words, removed_lines (their hashes), kept."""
+    docs = stable(docs)
     measures = materialize(measure(docs, host), "quality-measures")
-    removed = removals(measures, frequent_lines(measures, least_documents, least_share))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    gone = F.coalesce("removed_words", F.lit(0))
-    depleted = (gone > 0) & ((F.col("n_words") - gone < least_words) | (gone > most_removed * F.col("n_words")))
-    return (
-        measures.select("doc_id", "row", *BASE)
-        .join(removed, "row", "left")
-        .select("doc_id", "row", *BASE, failed.alias("base_failed"), gone.alias("removed_words"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"), (~failed & ~depleted).alias("kept"))
-    )
+    _, held = frequent_lines(measures, least_documents, least_share)
+    depleted = _depleted(least_words, most_removed)
+    sizes = measures.where(~_failed()).select("row", "n_words")
+    doomed = materialize(_removals(held).select("row", "removed_words").join(sizes, "row").where(depleted).select("row"), "quality-doomed")
+    if not doomed.isEmpty():
+        # A row's number stands for its id, which may repeat.
+        row = fresh(docs, "row")
+        texts = join_rows(with_row(docs, row).select(F.col(row).alias("row"), "text"), doomed, "row", "left_semi")
+        classes = near_dedup.near_duplicates(materialize(texts.select(F.col("row").alias("doc_id"), "text"), "quality-texts"), threshold=copied)
+        named = materialize(classes.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class")), "quality-classes")
+        hosts = measures.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+        # What counts as one document: a class, or a text.
+        merged = held.join(named, "row", "left").withColumn("document", F.struct(F.col("class").isNotNull().alias("copied"), F.coalesce("class", "document").alias("of")))
+        still = materialize(_frequent(merged, hosts, least_documents, least_share).select("host", "line"), "quality-lines")
+        held = held.join(still.hint("shuffle_merge"), ["host", "line"])
+    removed = _removals(held)
+    found = measures.select("doc_id", "row", *BASE).join(removed, "row", "left").withColumns({"removed_words": F.coalesce("removed_words", F.lit(0)), "removed_lines": F.coalesce("removed_lines", F.array().cast("array<bigint>"))})
+    return found.select("doc_id", "row", *BASE, _failed().alias("base_failed"), "removed_words", "removed_lines", (~_failed() & ~depleted).alias("kept"))
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, without the removed lines, with the columns of ``docs``. Where a text
-    changes and there is a column n_chars, it is counted again."""
+    changes and there is a column n_chars, it is counted again. Only verdicts other than "kept as it is" are joined."""
     docs = stable(docs)
-    verdicts = judge(docs, **limits).where("kept").select(F.col("row").alias("__row"), F.col("removed_lines").alias("__removed"))
-    kept = docs.withColumn("__row", F.monotonically_increasing_id()).join(verdicts, "__row").drop("__row")
-    return without_lines(kept, "__removed")
+    row, kept, removed = (fresh(docs, c) for c in ("__row", "__kept", "__removed"))
+    verdicts = judge(docs, **limits).where("not kept or size(removed_lines) > 0").select(F.col("row").alias(row), F.col("kept").alias(kept), F.col("removed_lines").alias(removed))
+    marked = join_rows(with_row(docs, row), materialize(verdicts, "quality-verdicts"), row, "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    return without_lines(marked.drop(row, kept), removed)
 
 
 def without_lines(docs: DataFrame, hashes: str) -> DataFrame:

@@ -11,7 +11,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hashes of words, held for the words seen lately."""
 
-    def __init__(self, cap: int = 400_000):
+    def __init__(self, cap: int = 100_000):
         super().__init__()
         self.cap = cap
 
