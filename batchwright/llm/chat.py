@@ -15,12 +15,12 @@ Expanded tokens: a placeholder stands for as many tokens as its part says (``n_t
 Defined cases: a null text is empty, a null role is ''; turns are ordered by turn (nulls last), then role, then
 content, so repeated turns all stay in a fixed order; turns with a null conv_id form one conversation; an empty
 table gives no rows; other columns are ignored. A conversation is one output row, so its turns meet in one task;
-its size is that of its own text, and no other conversation shares its fate.
+its size is that of its own text, and no other conversation shares its fate. Time is linear in the number of turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = "array<struct<type:string,text:string,ref:string,n_tokens:bigint>>"
@@ -59,24 +59,17 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
             F.filter(F.transform(F.coalesce(F.col(parts), F.array().cast(PARTS)), lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), p["n_tokens"].alias("n_tokens"))), lambda p: p["type"].isin(*ATTACHED)).alias("attached"),
         ).alias("t"),
     )
-    gathered = shown.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    heads = F.transform("turns", lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(SAYS)))
-    blocks = gathered.withColumn("heads", heads).withColumn("sizes", F.zip_with("heads", "turns", lambda h, t: F.char_length(h) + F.char_length(t["content"]) + len(END)))
-    spans = F.aggregate(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, i: F.struct(
-            (s["at"] + F.get("sizes", i)).alias("at"),
-            F.when(
-                F.get("turns", i)["role"].isin(*train_on),
-                F.concat(s["spans"], F.array(F.struct((s["at"] + F.char_length(F.get("heads", i))).alias("start"), F.char_length(F.get("turns", i)["content"]).alias("length")))),
-            ).otherwise(s["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    attachments = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attached"], lambda a: F.struct(i.alias("turn"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))))
-    return blocks.select(
+    heads = F.concat(F.lit(TURN), escape(F.col("t.role")), F.lit(SAYS))
+    sized = shown.select("conv_id", "t", heads.alias("head")).withColumn("size", (F.char_length("head") + F.char_length("t.content") + len(END)).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("start", F.sum("size").over(before) - F.char_length("t.content") - len(END))
+    gathered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t", "head", "start"))).alias("turns"))
+    trained = F.filter("turns", lambda x: x["t"]["role"].isin(*train_on))
+    spans = F.transform(trained, lambda x: F.struct(x["start"].cast("int").alias("start"), F.char_length(x["t"]["content"]).alias("length")))
+    attachments = F.flatten(F.transform("turns", lambda x, i: F.transform(x["t"]["attached"], lambda a: F.struct(i.alias("turn"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))))
+    return gathered.select(
         "conv_id",
-        F.concat_ws("", F.zip_with("heads", "turns", lambda h, t: F.concat(h, t["content"], F.lit(END)))).alias("formatted"),
+        F.concat_ws("", F.transform("turns", lambda x: F.concat(x["head"], x["t"]["content"], F.lit(END)))).alias("formatted"),
         spans.alias("loss_spans"),
         attachments.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(a["n_tokens"], F.lit(0))))
@@ -87,7 +80,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     comes back as itself."""
     blocks = F.filter(F.split("formatted", r"<\|turn\|>"), lambda _, i: i > 0)
     turns = F.transform(blocks, _turn)
-    loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))))
+    # Four bytes a character, so that a span is found without counting characters from the start; bound once by a lambda.
+    wide = F.array(F.encode("formatted", "UTF-32"))
+    loss = F.transform(wide, lambda w: F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.decode(F.substring(w, 4 * s["start"] + 1, 4 * s["length"]), "UTF-32")))))[0]
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
 
 
