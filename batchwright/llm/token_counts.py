@@ -12,7 +12,7 @@ most once in a block, so none is hot: a bucket gets the same share of every bloc
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows give repeated
 results; an empty table gives none; other columns are ignored. ``docs`` that isn't a plain
-reading of files is written as a table first, so that row numbers stay the same.
+reading of Parquet files is written as a table first, so that every reading has the same rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from batchwright.llm.common import map_arrow, stable, text_or_empty
 
 FREQUENCIES = -1
+#: A task forgets its pre-tokens beyond so many.
+KNOWN = 1_000_000
 ROWS = "block long, bucket int, dealt int, payload binary, doc_ids array<long>, n_bytes array<long>"
 EMPTY_DOCS = [pa.array([], pa.int64())]
 
@@ -147,10 +149,16 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(dealt, pa.int32()), pa.array(payload, pa.binary()), lists(ids), lists(sizes)], names=["block", "bucket", "dealt", "payload", "doc_ids", "n_bytes"])
 
 
+def _buckets(docs: DataFrame, file_bytes: int = 1 << 26, most: int = 20_000) -> int:
+    read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-read // file_bytes)))
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, block_chars: int = 16_000_000, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit. ``buckets`` (the session's shuffle partitions) bounds the distinct
-    pre-tokens that one task holds; a longer text than ``block_chars`` is a block of its own."""
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """doc_id, n_bytes, n_tokens, over_limit. There are as many ``buckets`` as the session's shuffle partitions, and more
+    for large tables: one for 64 MB of files, up to 20,000. A longer text than ``block_chars`` is a block of its own."""
+    docs = stable(docs)
+    buckets = buckets or _buckets(docs)
 
     def blocks(batches):
         task, n, ids, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
@@ -172,6 +180,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, block_chars: in
             for k, data in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if k != FREQUENCIES:
                     words = _unpack_words(data)
+                    if len(known) > KNOWN:
+                        known.clear()
                     if new := [w for w in words if w not in known]:
                         known.update(zip(new, counter.counts(new), strict=True))
                     data = _pack(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
@@ -191,6 +201,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, block_chars: in
         doc_ids, n_bytes = (rows.column(c).chunk(0)[0].values for c in ("doc_ids", "n_bytes"))
         return pa.table({"doc_id": doc_ids, "n_bytes": n_bytes, "n_tokens": tokens, "over_limit": tokens > limit})
 
-    rows = map_arrow(stable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), blocks, ROWS)
-    back = map_arrow(rows.repartition(buckets, "dealt"), counted, ROWS)
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), blocks, ROWS)
+    # By the bucket's number itself: a hash of it would put several buckets into one task and none into others.
+    back = map_arrow(rows.repartitionById(buckets, F.col("dealt")), counted, ROWS)
     return back.groupBy("block").applyInArrow(summed, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
