@@ -6,10 +6,12 @@
    with probability 5e-8). Each bucket links its nodes to its least one: a star, not all pairs. The components of
    these candidate links are clusters.
 3. Small clusters are dealt to tasks by hash; a large one is cut into blocks of bounded size, and each pair of its
-   blocks is a task. There pairs are compared 32 MinHash values at a time. With a uniform prior, m agreements of n
-   give the posterior Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold is below the tolerance
-   is dropped, and what is left is verified on the sets themselves. Every task returns counts per node and one link
-   per node to the least node it is connected with, never the pairs.
+   blocks is a task. A large cluster that holds together by few links (its buckets have fewer pairs than it has itself,
+   which is counted) is taken bucket by bucket instead, and a pair is compared in the first bucket that it shares. Pairs
+   are compared 32 MinHash values at a time. With a uniform prior, m agreements of n give the posterior
+   Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold is below the tolerance is dropped, and
+   what is left is verified on the sets themselves. Every task returns counts per node and one link per node to the
+   least node it is connected with, never the pairs.
 4. The components of those links are the classes.
 
 Defined cases: a null text is empty; texts without a word are copies of each other and have similarity 1; a text with
@@ -89,22 +91,24 @@ def sets_of(docs: DataFrame, size: int, with_signature: bool, extra: tuple[str,
     return map_arrow(docs.select("row", "doc_id", "text", *extra), run, f"row long, doc_id long, set_key binary, set_size long, payload binary{more}")
 
 
-def candidate_links(nodes: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(u, v) from every node of a shared bucket to the bucket's least node. ``nodes``: node, signature."""
-    per = VALUES // bands
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, band, node, least, n: the nodes of every bucket that has several (n), and its least one. ``nodes``: node,
+    signature."""
+    per = VALUES // BANDS
 
     def run(batches):
         for b in batches:
-            values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, bands, per).astype(np.uint64)
-            h = np.broadcast_to(np.arange(bands, dtype=np.uint64), values.shape[:2]).copy()
+            values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, per).astype(np.uint64)
+            h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), values.shape[:2]).copy()
             for k in range(per):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
-            node = np.repeat(b.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(node)], names=["bucket", "node"])
+            node = np.repeat(b.column(0).to_numpy(), BANDS)
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), pa.array(node)], names=["bucket", "band", "node"])
 
-    rows = map_arrow(nodes.where("signature is not null").select("node", "signature"), run, "bucket long, node long")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(shared, "bucket").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    rows = map_arrow(nodes.where("signature is not null").select("node", "signature"), run, "bucket long, band int, node long")
+    shared = rows.groupBy("bucket", "band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(shared, ["bucket", "band"])
 
 
 class Block:
@@ -141,8 +145,9 @@ class Linker:
         self.exact = Fraction(str(threshold))
         self.stages = [(lo, lo + step, least_agreements(lo + step, threshold, tolerance)) for lo in range(0, VALUES, step)]
 
-    def links(self, a: Block, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the pairs of ``a`` with ``b`` (or each pair within ``a`` where they are the same): nodes, text links, document links, roots."""
+    def links(self, a: Block, b: Block, band: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the pairs of ``a`` with ``b`` (or each pair within ``a`` where they are the same): nodes, text links,
+        document links, roots. With ``band`` of those pairs only that share this band and none before it."""
         same, n, m = a is b, len(a), len(b)
         number, flat = np.unique(np.concatenate([*a.sets, *([] if same else b.sets)]), return_inverse=True)
         ends = np.cumsum(a.size if same else np.concatenate([a.size, b.size]))
@@ -155,6 +160,9 @@ class Linker:
         mark = np.zeros(len(number), bool)
         for i in range(n):
             j = np.arange(i + 1 if same else 0, m)
+            if band >= 0:
+                bands = (b.signature[j].reshape(-1, BANDS, VALUES // BANDS) == a.signature[i].reshape(BANDS, -1)).all(axis=2)
+                j = j[bands[:, band] & ~bands[:, :band].any(axis=1)]
             agree = np.zeros(len(j), np.int64)
             for lo, hi, least in self.stages:
                 if not len(j):
@@ -188,36 +196,41 @@ def _as_links(found) -> pa.Table:
 
 
 def verified_links(members: DataFrame, threshold: float, tolerance: float, packs: int) -> DataFrame:
-    """LINKS of every task. ``members``: cluster, blocks, block, node, copies, signature, members (the set)."""
+    """LINKS of every task. ``members``: cluster, band (-1, or that of the bucket that the cluster is), blocks, block,
+    node, copies, signature, members (the set)."""
     ship_package(members.sparkSession)
 
     def block_of(t: pa.Table) -> Block:
         return Block(t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("signature").to_pylist(), t.column("members").to_pylist())
 
     def small(t: pa.Table) -> pa.Table:
-        linker, t = Linker(threshold, tolerance), t.sort_by([("cluster", "ascending"), ("node", "ascending")])
-        cluster = t.column("cluster").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(cluster)]
+        linker, t = Linker(threshold, tolerance), t.sort_by([("cluster", "ascending"), ("band", "ascending"), ("node", "ascending")])
+        cluster, band = t.column("cluster").to_numpy(), t.column("band").to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(cluster) != 0) | (np.diff(band) != 0)) + 1).tolist(), len(cluster)]
         found = []
         for lo, hi in zip(edges, edges[1:], strict=False):
             own = block_of(t.slice(lo, hi - lo))
-            found.append(linker.links(own, own))
+            found.append(linker.links(own, own, int(band[lo])))
         return _as_links(found)
 
     def packed(t: pa.Table) -> pa.Table:
-        return pa.table({"cluster": t.column("cluster").slice(0, 1), "blocks": t.column("blocks").slice(0, 1), "block": t.column("block").slice(0, 1), "data": pa.array([block_of(t.sort_by("node")).pack()], pa.binary())})
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in ("cluster", "band", "blocks", "block")}, "data": pa.array([block_of(t.sort_by("node")).pack()], pa.binary())})
 
     def pair(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         own = [Block.unpack(x) for x in t.column("data").to_pylist()]
         if len(own) == 1 and t.column("i")[0] != t.column("j")[0]:  # no node fell into the other block
             return _as_links([])
-        return _as_links([Linker(threshold, tolerance).links(own[0], own[-1])])
+        return _as_links([Linker(threshold, tolerance).links(own[0], own[-1], t.column("band")[0].as_py())])
 
-    alone = members.where("blocks = 1").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInArrow(small, LINKS)
-    blocks = members.where("blocks > 1").groupBy("cluster", "block").applyInArrow(packed, "cluster long, blocks int, block int, data binary")
-    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "data")
-    return alone.unionByName(pairs.groupBy("cluster", "i", "j").applyInArrow(pair, LINKS))
+    alone = members.where("blocks = 1").withColumn("pack", F.pmod(F.xxhash64("cluster", "band"), F.lit(packs))).groupBy("pack").applyInArrow(small, LINKS)
+    blocks = members.where("blocks > 1").groupBy("cluster", "band", "block").applyInArrow(packed, "cluster long, band int, blocks int, block int, data binary")
+    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "data")
+    return alone.unionByName(pairs.groupBy("cluster", "band", "i", "j").applyInArrow(pair, LINKS))
+
+
+def _blocks(nodes, runs, block_nodes: int, block_runs: int):
+    return F.greatest(F.ceil(nodes / block_nodes), F.ceil(runs / block_runs)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-6, block_nodes: int = 512, block_runs: int = 1_000_000) -> DataFrame:
@@ -232,15 +245,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, tole
     marks = materialize(sets_of(rows, size, True), "near-marks")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     nodes = materialize(marks.groupBy("set_key").agg(F.min("row").alias("node"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("set_size").alias("set_size"), F.first("payload").alias("signature")), "near-nodes")
-    clusters = components(candidate_links(nodes))
-    sized = clusters.join(nodes.select("node", "copies", "signature", "set_size"), "node")
-    extent = clusters.join(nodes.select("node", "set_size"), "node").groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("set_size") / block_runs)).cast("int").alias("blocks"))
-    wanted = materialize(sized.join(extent, "label").select(F.col("node").alias("row"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "copies", "signature"), "near-wanted")
+    buckets = materialize(shared_buckets(nodes), "near-buckets")
+    clusters = components(buckets.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    sized = clusters.join(nodes.select("node", "set_size"), "node")
+    work = buckets.select("bucket", "band", F.col("least").alias("node"), "n").distinct().join(clusters, "node").groupBy("label").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    extent = sized.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("set_size").alias("runs")).join(work, "label")
+    extent = extent.select("label", _blocks(F.col("m"), F.col("runs"), block_nodes, block_runs).alias("blocks"), ((F.col("m") > block_nodes) & (F.col("m") * F.col("m") > F.col("work"))).alias("loose"))
+    found = clusters.join(extent, "label").join(nodes.select("node", "copies", "signature"), "node")
+    wanted = found.select(F.col("node").alias("row"), F.col("label").alias("cluster"), F.lit(-1).alias("band"), F.when(F.col("loose"), 0).otherwise(F.col("blocks")).alias("blocks"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "copies", "signature")
+    wanted = materialize(wanted, "near-wanted")
     # Where the numbers of the rows can be broadcast, no other text is moved.
     texts = join_rows(rows, wanted.select("row"), "row", "left_semi").join(wanted.hint("shuffle_merge"), "row")
-    members = materialize(
-        sets_of(texts, size, False, ("cluster", "blocks", "block", "copies", "signature")).select("cluster", "blocks", "block", F.col("row").alias("node"), "copies", "signature", F.col("payload").alias("members")), "near-members"
-    )
+    place = ("cluster", "band", "blocks", "block")
+    members = materialize(sets_of(texts, size, False, (*place, "copies", "signature")).select(*place, F.col("row").alias("node"), "copies", "signature", "set_size", F.col("payload").alias("members")), "near-members")
+    loose = members.where("blocks = 0")
+    if not loose.isEmpty():
+        own = buckets.join(loose.select("node"), "node", "left_semi").select("bucket", "band", "node")
+        spread = loose.drop(*place).join(own, "node")
+        bucket = spread.groupBy("bucket", "band").agg(_blocks(F.count(F.lit(1)), F.sum("set_size"), block_nodes, block_runs).alias("blocks"))
+        placed = spread.join(bucket, ["bucket", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumnRenamed("bucket", "cluster")
+        members = materialize(members.where("blocks > 0").unionByName(placed.select(*members.columns)), "near-members")
     packs = max(1, ceil(members.where("blocks = 1").count() / block_nodes))
     links = materialize(verified_links(members, threshold, tolerance, packs), "near-links")
     classes = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
