@@ -5,14 +5,15 @@ is compressed with either dictionary, and where the toxic one saves bytes the wi
 savings of all windows (largest, largest few, mean, share of windows that save much) give a score by a logistic
 model; its threshold is calibrated on labelled rows that its dictionaries haven't seen.
 
-Toxic documents are ordinary prose but for some words. So the toxic dictionary begins with the ordinary one, which
-makes prose cost alike, and its own part is a cover by contrast: again and again the five bytes that most toxic
-documents share and ordinary ones lack, extended both ways as long as most of their words agree.
+Toxic documents are ordinary prose but for some words, and a dictionary trained on all of them learns prose. So it is
+trained on what ordinary text lacks: of each toxic text the words with five bytes that toxic texts share and ordinary
+ones hardly have. Both compressors begin with the ordinary dictionary, which makes prose cost alike.
 
 Training takes a bounded sample of labelled rows: at most ``toxic_rows`` and ``ordinary_rows``, those with the least
-hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters. Of the
-windows of the ordinary ones every k-th trains the ordinary dictionary, at most 20,000 (``samples``). Scoring
-reads every row and whole texts; no shuffle. Labels, languages, sources and ids are never inputs of a score.
+hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters, so 40 million
+characters in all. Of the windows of the ordinary ones every k-th trains the ordinary dictionary, at most 20,000
+(``samples``). Scoring reads every row and whole texts; no shuffle. Labels, languages, sources and ids are never
+inputs of a score.
 
 Defined cases: null and empty texts have no window and get the score of such; a null doc_id isn't held out; repeated
 labels of an id count once, as toxic if one says so; null labels don't count; without toxic or ordinary rows to learn
@@ -21,7 +22,7 @@ from every score is 0; repeated rows give repeated results; an empty table gives
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,57 +54,35 @@ def _words(text: str) -> list[bytes]:
     return [f" {w} ".encode() for w in sorted(set(text.lower().split()))]
 
 
-def contrast(toxic: list[str], ordinary: list[str], lift: float = 15, share: float = 0.02) -> list[bytes]:
-    """Byte strings that at least this share of the toxic texts have and ordinary ones, in proportion, hardly."""
+def telling_grams(toxic: list[str], ordinary: list[str], lift: float = 5, share: float = 0.02) -> set[bytes]:
+    """Five bytes of a word that at least this share of the toxic texts have and ordinary ones, in proportion, hardly."""
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for t in texts:
             counts.update(set().union(*map(_grams, _words(t))) if t else ())
     least = max(3, share * len(toxic))
-    good = {g for g, n in in_toxic.items() if n >= least and n * len(ordinary) >= lift * (in_ordinary[g] + 0.5) * len(toxic)}
-    left: dict[bytes, set[int]] = defaultdict(set)
-    for i, t in enumerate(toxic):
-        for w in _words(t):
-            if not good.isdisjoint(_grams(w)):
-                left[w].add(i)
-    out = []
-    while True:
-        shared: dict[bytes, set[int]] = defaultdict(set)
-        for w, docs in left.items():
-            for g in _grams(w) & good:
-                shared[g] |= docs
-        if not shared:
-            return out
-        part = max(shared, key=lambda g: (len(shared[g]), g))
-        if len(shared[part]) < least:
-            return out
-        having = [w for w in left if part in w]
-        total = sum(len(left[w]) for w in having)
-        while True:
-            grown = Counter()
-            for w in having:
-                at = w.find(part)
-                if at > 0:
-                    grown[w[at - 1 : at] + part] += len(left[w])
-                if 0 <= at < len(w) - len(part):
-                    grown[part + w[at + len(part) : at + len(part) + 1]] += len(left[w])
-            best, n = max(grown.items(), key=lambda x: (x[1], x[0]), default=(b"", 0))
-            if n < 0.8 * total:
-                break
-            part = best
-        out.append(part)
-        for w in having:
-            del left[w]
+    return {g for g, n in in_toxic.items() if n >= least and n * len(ordinary) >= lift * (in_ordinary[g] + 0.5) * len(toxic)}
+
+
+def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int = 1 << 10) -> bytes:
+    """Trained by the library on each toxic text's words that tell; with too few of them, those words themselves."""
+    good = telling_grams(toxic, ordinary)
+    found = [b"".join(w for w in _words(t) if not good.isdisjoint(_grams(w))) for t in toxic]
+    return _trained(size, [x for x in found if x], k=128, d=8)
+
+
+def _trained(size: int, samples: list[bytes], **settings) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, **settings).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[:size]
 
 
 def ordinary_dictionary(ordinary: list[str], size: int = 1 << 14, samples: int = 20_000) -> bytes:
     """Trained by the library; with too little text for that, the text itself."""
     found = [w for t in ordinary for w in windows(t)]
     found = found[:: max(1, -(-len(found) // samples))]
-    try:
-        return zstandard.train_dictionary(size, found).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(found)[:size]
+    return _trained(size, found)
 
 
 @dataclass(frozen=True)
@@ -118,7 +97,7 @@ class Dictionaries:
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> Dictionaries:
-    return Dictionaries(ordinary_dictionary(ordinary), b"".join(reversed(contrast(toxic, ordinary))))
+    return Dictionaries(ordinary_dictionary(ordinary), toxic_dictionary(toxic, ordinary))
 
 
 def features(text: str, plain, toxic) -> tuple[float, ...]:
@@ -189,7 +168,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float, folds: int =
     return Model(train_dictionaries(toxic, ordinary), tuple((w[:-1] / scale).tolist()), bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, trains=None, toxic_rows: int = 1000, ordinary_rows: int = 3000, longest: int = 100_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, trains=None, toxic_rows: int = 1000, ordinary_rows: int = 3000, longest: int = 10_000) -> Model:
     """A model from a bounded sample of the labelled rows; ``trains`` (all) is a condition on doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(trains if trains is not None else F.lit(True))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -206,16 +185,16 @@ def train(docs: DataFrame, labels: DataFrame, trains=None, toxic_rows: int = 100
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, row, score, predicted of every row."""
+    """doc_id, score, predicted of every row."""
 
     def run(batches):
         scorer = model.scorer()
         for b in batches:
-            scores = [scorer(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= PREDICT_AT) for s in scores], pa.int32())], names=["doc_id", "row", "score", "predicted"])
+            scores = [scorer(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= PREDICT_AT) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return map_arrow(rows, run, "doc_id long, row long, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return map_arrow(rows, run, "doc_id long, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
