@@ -79,6 +79,94 @@ def test_odd_pages(spark):
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in rows) == [("1", "", 0), ("1", "", 0), ("None", MAIN, len(MAIN))]
 
 
+@pytest.mark.parametrize(
+    "part",
+    ['<h2 class="section-header">KEEP</h2>', '<p class="share-price">KEEP it</p>', '<ul class="form-list"><li>KEEP</li></ul>', "<math><mi>KEEP</mi></math>", '<p class="comment">KEEP</p>', '<div class="notice-period"><p>KEEP</p></div>', "<header><h2>KEEP</h2></header>"],
+)
+def test_names_do_not_take_text_from_the_article(part):
+    html = f"<body><nav><a href=x>menu</a></nav><article><h1>T</h1><p>{'word ' * 60}</p>{part}<p>{'more ' * 60}</p></article><div class=ad>buy</div></body>"
+    text = html_text.main_text(html)
+    assert "KEEP" in text and "buy" not in text and "menu" not in text
+
+
+@pytest.mark.parametrize("part", ["<div class=ad>DROP</div>", "<div id='cookie-notice'>DROP</div>", "<aside>DROP</aside>", "<footer>DROP</footer>", "<form>DROP</form>", "<ul role=navigation><li>DROP</ul>", f"<section class='comments-area'><p>{'DROP ' * 500}</p></section>"])
+def test_parts_that_are_no_article_text_go(part):
+    html = f"<body><article><h1>T</h1><p>{'word ' * 60}</p>{part}<p>{'more ' * 60}</p></article></body>"
+    assert "DROP" not in html_text.main_text(html)
+
+
+def test_time_is_linear_in_tags():
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text("<div>" * 100_000 + "x" + "</section>" * 100_000) == "x"
+    html_text.main_text("<p><table>" + "<span>" * 50_000 + "x" + "<hr>" * 50_000)
+    assert time.process_time() - began < 10
+
+
+def chosen(body):
+    """Text of the node that composite text density chooses, by recursion over an element tree without names."""
+    from math import e, log
+
+    def runs(x):
+        return [t for t in (x.text, *(c.tail for c in x)) if t]
+
+    def size(t):
+        return len("".join(t.split()))
+
+    def measures(x, in_link=False):
+        link = in_link or x.tag == "a"
+        own = sum(map(size, runs(x)))
+        below = [measures(c, link) for c in x]
+        return own + sum(b[0] for b in below), 1 + sum(b[1] for b in below), (own if link else 0) + sum(b[2] for b in below), int(x.tag == "a") + sum(b[3] for b in below)
+
+    whole, _, whole_links, _ = measures(body)
+
+    def density(c, t, lc, lt):
+        return c / t * log(max(1, c / max(1, lc) * t / max(1, lt)) + e - 1) / max(1, log(c / max(1, c - lc) * lc + whole_links / whole * c + e)) if c else 0
+
+    above = {c: x for x in body.iter() for c in x}
+
+    def linked(x):
+        return x is not None and (x.tag == "a" or linked(above.get(x)))
+
+    dense = {x: density(*measures(x, linked(above.get(x)))) for x in body.iter()}
+    sums = {x: sum(dense[c] for c in x) + density(n := sum(map(size, runs(x))), 1, n * linked(x), int(linked(x))) for x in body.iter()}
+    best = max(body.iter(), key=lambda x: sums[x])  # the first of equal ones
+    path = [best]
+    while path[-1] in above:
+        path.append(above[path[-1]])
+    least = min(dense[x] for x in path)
+    for x in path[1:-1]:
+        if any(dense[c] < least for c in x if measures(c)[0]):
+            break
+        best = x
+    return " ".join("".join(best.itertext()).split())
+
+
+def test_density_against_brute_force():
+    import random
+    from xml.etree import ElementTree
+
+    rng = random.Random(19)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    def element(depth):
+        tag = rng.choice(["div", "section", "p", "a", "b"] if depth < 4 else ["p", "a"])
+        inner = "".join(element(depth + 1) for _ in range(rng.randrange(0, 4))) if tag in ("div", "section") else ""
+        return f"<{tag}>{words(rng.choice([0, 1, 3, 20, 60]))} {inner}</{tag}>"
+
+    for _ in range(150):
+        html = f"<body><div>{words(2)} {''.join(element(1) for _ in range(4))}</div>{element(0)}{words(1)}</body>"
+        assert html_text.main_text(html) == chosen(ElementTree.fromstring(html)), html
+
+
+def test_no_pages(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 TURNS = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a\\lb<|end|>\n[x"), (1, 1, "assistant", "a\\lb<|end|>\n[x"), (2, 0, None, None), (None, 5, "assistant", ""), (None, None, "sys<|tem", "\\e\\k"), (3, 2, "assistant", "é" * 50_000), (3, 1, "user", "<|turn|>user<|says|>")]
 
 
