@@ -315,6 +315,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == scores.where("predicted = 0").count()
 
 
+def test_toxic_words_are_found_in_a_very_long_text(spark):
+    rng = random.Random(18)
+    rows, labels = labelled(rng, 400)
+    long = prose(rng, 100_000).split(" ")
+    docs = frame(spark, [*rows, (5000, " ".join(long)), (5001, " ".join([*long[:50_000], *["grumbolt", "vexnarod", "zorkish"] * 2000, *long[50_000:]]))])
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).where("doc_id >= 5000").collect()}
+    assert found[5001] > found[5000]
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b c")])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))

@@ -61,3 +61,32 @@ def test_stages(spark, tmp_path):
         assert sum(r["length"] for r in own) == own[0]["doc_tokens"]
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "exact_dedup", "near_dedup", "packing"]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+
+
+def test_defined_cases(spark, tmp_path):
+    """Nulls in every column, repeated and null ids, a very long text, columns with the operators' own names."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    long, plain, again = (" ".join(words(rng, n)) for n in (60_000, 80, 90))
+    rows = [(1, plain, "en", "a", 1), (1, again, None, None, None), (None, " ".join(words(rng, 70)), "en", "a", 1), (None, again, "en", "b", 1), (2, None, None, None, None), (None, None, None, None, None), (3, "", "en", "a", 0), (4, long, "en", "a", 1), (4, long, "en", "a", 1)]
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame([(*r, *(7,) * 6) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, __row long, __removed long, line long, document long, node long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, None, 1), (None, 1, 1), (1, 1, None), (99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, materialize(stage(spark, docs, folder), "test-stage")
+        assert docs.columns == columns
+    kept = docs.collect()
+    assert sorted(len(r["text"].split(" ")) for r in kept) == [70, 80, 90, 60_000] and all(r["row"] == r["__removed"] == 7 for r in kept)
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()} == {1, 4, None}
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
