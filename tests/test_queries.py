@@ -9,7 +9,7 @@ from batchwright.queries import graphs, rows
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
-SOME = ("delete_rows", "match_ambiguous_keys", "update_missing_conflict", "graph_hierarchy_edges", "m2m_link_diff", "m2m_stats", "graph_shared_child")
+SOME = ("delete_rows", "match_ambiguous_keys", "update_missing_conflict", "graph_hierarchy_edges", "m2m_link_diff", "m2m_stats", "graph_shared_child", "update_duplicate_unique", "delete_null_token", "graph_delete_repeats", "graph_upsert_retry", "graph_insert_generated_ids", "writer_commits", "guards_of_graphs")
 ALL = {**rows.QUERIES, **graphs.QUERIES}
 SQL = {**rows.SQL, **graphs.SQL}
 
