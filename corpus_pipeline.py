@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. ``sf_dir`` gives the
 labels that the toxicity stage learns from; nothing else is read but ``docs``.
+
+Defined cases: a null or empty text fails the quality rules; a null doc_id is kept and stays null; rows of one doc_id are
+rows of their own, and of equal texts one row stays whatever their ids; a null source is the host ''; texts of any length
+are taken whole; without labels nothing is toxic; no documents give no pieces; other columns, whatever their names, stay
+until the last stage, which has its own.
 """
 
 from __future__ import annotations
