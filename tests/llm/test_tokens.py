@@ -40,12 +40,22 @@ def test_units_are_cut_where_ids_do_not_change():
     assert units_of("a b\nc d") == ["a", "b\nc", "d"]
 
 
-def test_joined_units_equal_the_library():
-    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    encoder = UnitCache(packing.JoinedUnits(model).encode, cap=50)
-    found = texts(seed=2)
+def test_packed_ids_equal_the_library():
+    model, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.Encoder(P.path("byte_bpe_50k.json"))
+    assert encoder.fast
+    rng = random.Random(20)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñ中") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    found = texts(seed=2) + [" ".join(rng.choice(words) + rng.choice(["", "", ",", ".\n", "'s", " "]) for _ in range(300)) for _ in range(50)]
+    found += [" " * 200_000, "\n \t" * 100_000 + "x", "ab" * 100_000]
     expected = [x.ids for x in model.encode_batch(found, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for part in (found[:2000], found[2000:]) for x in encoder.ids(part)] == expected
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(found)] == expected
+
+
+def test_other_vocabularies_go_through_the_library():
+    model, encoder = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.Encoder(P.path("word_bpe_49k.json"))
+    assert encoder.fast is None
+    found = ["Some words, and others.", "", "x  y"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(found)] == [x.ids for x in model.encode_batch(found, add_special_tokens=False)]
 
 
 def test_queue_skips_stale_entries_on_long_runs():
