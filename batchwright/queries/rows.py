@@ -510,7 +510,7 @@ def retries_and_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def writer_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert into an empty store, update, delete: each call finds its keys in the model and commits once."""
-    store, customers = Store(spark, new_path(spark, "store")), read(spark, sf_dir, "customer")
+    store, customers = Store(spark, new_path(spark, "store", released=True)), read(spark, sf_dir, "customer")
     writer = BatchWriter(store, Model({"customer": replace(MODEL["customer"], generated_key=False, navigations=())}), "customer")
     writer.insert(customers)
     writer.update(customers.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("CHANGED")))

@@ -39,18 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a table in the shared folder that nothing else uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+#: Paths that ``release`` deletes, by application.
+_written: dict[str, list[str]] = {}
 
 
-#: Tables that ``materialize`` has written, by application.
-_written: dict[str, list[str]] = {}
+def new_path(spark: SparkSession, name: str, released: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; with ``released`` one that ``release`` deletes."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if released:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` has written for this application; results that read them are void.
-    They are kept until then, as lazy results may read them at any time. Returns how many there were."""
+    """Delete the tables that ``materialize`` has written for this application, and other paths made to be released;
+    results that read them are void. They are kept until then, as lazy results may read them at any time. Returns how
+    many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
@@ -61,8 +65,7 @@ def release(spark: SparkSession) -> int:
 
 def materialize(df, name: str):
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = new_path(df.sparkSession, name, released=True)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
