@@ -155,9 +155,10 @@ def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 26, level: int = 3) -> DataFrame:
-    """Write a record for every page; return the index, which is kept as a table."""
+    """Write a record for every page; return the index, which is kept as a table. Without ``folder`` the bundles go to
+    the shared folder until ``session.release``."""
     pages = stable(pages)
-    folder = folder or new_path(pages.sparkSession, "warc")
+    folder = folder or new_path(pages.sparkSession, "warc", released=True)
     uri = folder if "://" in folder else f"file://{folder}"
     number = fresh(pages, "row")
     rows = with_row(pages, number).select(F.col("page_id").cast("long").alias("page_id"), F.col(number).alias("row"), text_or_empty("url").alias("url"), F.encode(text_or_empty("html"), "utf-8").alias("payload"))
