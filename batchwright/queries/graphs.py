@@ -431,6 +431,15 @@ def graph_shared_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("root").join(won, "root", "left").select("root", F.coalesce("first", F.lit(False)).alias("first"))
 
 
+@query("SELECT o_orderkey AS root, o_orderkey % 2 = 0 AS first FROM orders")
+def graph_shared_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order asks for two children, one of them with the next order: every second one goes ahead."""
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("root"))
+    claims = keys.select("root", F.explode(F.array(F.col("root").cast("string"), (F.col("root") + 1).cast("string"))).alias("key"))
+    won = graph.first_roots(claims).withColumn("first", F.lit(True))
+    return keys.join(won, "root", "left").select("root", F.coalesce("first", F.lit(False)).alias("first"))
+
+
 # Many to many
 
 PAIR = (("ps_suppkey",), ("ps_partkey",))

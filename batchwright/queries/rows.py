@@ -118,6 +118,18 @@ def insert_generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(flat.insert(batch, customers.where("c_custkey % 10 = 0"), MODEL, "customer").outcomes, "c_custkey")
 
 
+@query(
+    f"""WITH {numbered(CUSTOMERS, 'customer', 'c_custkey % 2 = 1')}, good AS (SELECT idx, c_custkey, c_custkey % 10 = 1 AS unset FROM batch WHERE c_acctbal >= 0),
+top AS (SELECT max(c_custkey) AS k FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 10 <> 1 AND c_acctbal >= 0), ids AS (SELECT idx, (SELECT k FROM top) + row_number() OVER (ORDER BY idx) AS k FROM good WHERE unset)
+SELECT b.idx, CASE WHEN k IS NOT NULL THEN k WHEN b.c_custkey % 10 = 1 THEN 0 ELSE b.c_custkey END AS c_custkey, 'Insert' AS operation, CASE WHEN c_acctbal < 0 THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN c_acctbal < 0 THEN 'ValidationError' END AS reason FROM batch b LEFT JOIN ids i ON i.idx = b.idx"""
+)
+def insert_given_and_generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with keys of their own beside rows without: the next ids come after all of them."""
+    customers = read(spark, sf_dir, "customer")
+    batch = indexed(customers.where("c_custkey % 2 = 1")).withColumn("c_custkey", F.expr("if(c_custkey % 10 = 1, 0L, c_custkey)"))
+    return shown(flat.insert(batch, customers.where("c_custkey % 2 = 0"), MODEL, "customer").outcomes, "c_custkey")
+
+
 @query(f"""WITH {ISOLATED}, c AS (SELECT count(*) FILTER (status = 'Success') AS s, count(*) FILTER (status = 'Failed') AS f FROM outcome)
 SELECT s AS success_count, f AS failure_count, 0::BIGINT AS skipped_count, s AS inserted_count, 0::BIGINT AS updated_count, 0::BIGINT AS not_attempted_count, s + f AS total_processed,
 CASE WHEN s + f > 0 THEN s / (s + f) ELSE 0.0 END AS success_rate, f = 0 AND s > 0 AS is_complete_success, s = 0 AND f > 0 AS is_complete_failure, s > 0 AND f > 0 AS is_partial_success, false AS was_cancelled FROM c""")
