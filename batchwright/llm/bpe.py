@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_arrow, text_or_empty
+from batchwright.llm.common import keeps, map_arrow, text_or_empty
 from batchwright.llm.words import UnitCache, slices
 
 
@@ -269,6 +269,7 @@ class ByteBPE:
 
 
 _models: dict[tuple[str, str], ByteBPE] = {}
+keeps("byte_bpe", _models.clear)
 
 
 def _model(path: str, pattern: str) -> ByteBPE:
@@ -288,7 +289,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
                 ids = model.encode_many(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, "doc_id long, ids binary, decoded binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, "doc_id long, ids binary, decoded binary", "byte_bpe")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -19,10 +21,11 @@ TO_SPACE = {ord(c): " " for c in SPACE}
 ROW_BITS = 40
 #: The beginning of a path without a host, which Spark writes with one or three slashes.
 NO_HOST = re.compile(r"^([A-Za-z0-9+.-]+):///")
-#: Spark's setting of the bytes of an Arrow batch, and its default.
-BATCH_SETTING, SPARKS_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Spark's settings of the bytes of an Arrow batch and the rows of a batch that a Parquet reader holds: its defaults, and
+#: what is set instead of them.
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
 #: Tables of more rows than this are never broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def words_of(text: str) -> list[str]:
@@ -45,9 +48,13 @@ def keeps(operator: str, forget: Callable[[], None]) -> None:
 
 
 def forget_others(operator: str | None = None) -> None:
+    """Let go of what other operators keep, and of memory that the allocators hold but nothing uses."""
     for name, forget in _kept.items():
         if name != operator:
             forget()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, function, schema: str, operator: str | None = None, **options) -> DataFrame:
@@ -56,12 +63,14 @@ def map_arrow(df: DataFrame, function, schema: str, operator: str | None = None,
     default a task holds batches of long texts several times over."""
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
-    if conf.get(BATCH_SETTING, None) == SPARKS_BATCH:
-        conf.set(BATCH_SETTING, "4m")
+    for name, (sparks, ours) in BOUNDED.items():
+        if conf.get(name, None) == sparks:
+            conf.set(name, ours)
 
     def run(batches):
         forget_others(operator)
-        return function(batches)
+        yield from function(batches)
+        forget_others(operator)
 
     return df.mapInArrow(run, schema, **options)
 

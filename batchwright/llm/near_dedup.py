@@ -73,7 +73,7 @@ def sets_of(docs: DataFrame, size: int, with_signature: bool, extra: tuple[str,
         hashes = WordHashes()
         for b in batches:
             texts = b.column(2).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 500_000):
                 sets = [np.unique(shingles(hashes.of(words_of(t)), size)) for t in texts[lo:hi]]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 if with_signature:

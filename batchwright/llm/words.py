@@ -57,7 +57,7 @@ class UnitCache:
     No more than about ``cap`` units are held, in two generations; those met again stay.
     """
 
-    def __init__(self, encode_many, cap: int = 700_000):
+    def __init__(self, encode_many, cap: int = 500_000):
         self.encode_many, self.cap, self.known = encode_many, cap, _Known()
 
     def ids(self, texts: list[str]) -> list[bytes]:
