@@ -67,11 +67,8 @@ def compete(judged: DataFrame, entity: Entity, updates: bool = True) -> DataFram
     passing = judged.where(F.col("status") == SUCCESS)
     inserts = passing.where("attempted = 'Insert'")
     if len(entity.constraints) == 1:
-        winners = first_of(inserts, entity)
-        if updates:
-            winners = winners.unionByName(passing.where("attempted <> 'Insert'").select(IDX))
-        marked = judged.join(winners.withColumn("__ahead", F.lit(True)), IDX, "left")
-        behind = (F.col("status") == SUCCESS) & F.col("__ahead").isNull()
+        marked = judged.join(first_of(inserts, entity).withColumn("__ahead", F.lit(True)), IDX, "left")
+        behind = (F.col("status") == SUCCESS) & (F.col("attempted") == "Insert") & F.col("__ahead").isNull()
     else:
         claims = claims_of(inserts, entity, F.concat(F.lit("row "), F.col(IDX)))
         if updates:

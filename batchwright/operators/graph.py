@@ -300,7 +300,10 @@ def rivals(nodes: dict[str, DataFrame], model: Model, shared: set[str], failures
     if not parts:
         none = failures.select("root").where(F.lit(False))
         return failures.where(F.lit(False)), none
-    claims = materialize(reduce(DataFrame.unionByName, parts).join(failures.select("root").distinct(), "root", "left_anti"), "graph-claims")
+    claims = reduce(DataFrame.unionByName, parts)
+    shared_keys = claims.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    contested = claims.join(shared_keys, "key").join(failures.select("root").distinct(), "root", "left_anti")
+    claims = materialize(contested, "graph-claims")  # few: what only one row wants is no matter
     twice = claims.distinct().groupBy("root", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root").distinct()
     inner = twice.select("root", F.lit(0).alias("depth"), F.lit("").alias("entity"), F.lit("DuplicateKey").alias("reason"))
     among = claims.join(twice, "root", "left_anti")
