@@ -10,7 +10,7 @@ trained on what ordinary text lacks: of each toxic text the words with five byte
 ones hardly have. Both compressors begin with the ordinary dictionary, which makes prose cost alike.
 
 Training takes a bounded sample of labelled rows: at most ``toxic_rows`` and ``ordinary_rows``, those with the least
-hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters, so 40 million
+hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters, so 200 million
 characters in all. Of the windows of the ordinary ones every k-th trains the ordinary dictionary, at most 20,000
 (``samples``). Scoring reads every row and whole texts; no shuffle. Labels, languages, sources and ids are never
 inputs of a score.
@@ -168,7 +168,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float, folds: int =
     return Model(train_dictionaries(toxic, ordinary), tuple((w[:-1] / scale).tolist()), bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, trains=None, toxic_rows: int = 1000, ordinary_rows: int = 3000, longest: int = 10_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, trains=None, toxic_rows: int = 1000, ordinary_rows: int = 3000, longest: int = 50_000) -> Model:
     """A model from a bounded sample of the labelled rows; ``trains`` (all) is a condition on doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(trains if trains is not None else F.lit(True))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
