@@ -6,8 +6,13 @@ savings of all windows (largest, largest few, mean, share of windows that save m
 model; its threshold is calibrated on labelled rows that its dictionaries haven't seen.
 
 Toxic documents are ordinary prose but for some words, and a dictionary trained on all of them learns prose. So it is
-trained on what ordinary text lacks: of each toxic text the words with five bytes that toxic texts share and ordinary
-ones hardly have. Both compressors begin with the ordinary dictionary, which makes prose cost alike.
+trained on what ordinary text lacks: of each toxic text the parts of words with five bytes that toxic texts share and
+ordinary ones hardly have, and up to three bytes about them. Whole words would fill it with the endings of inflected ones,
+and others would find no room. Both compressors begin with the ordinary dictionary, which makes prose cost alike, and search
+by binary trees: by chains they pass over a fifth of the matches, and that differs between the two.
+
+Of near copies among the labelled texts one is learned from: copies of one toxic text share all its words, and its fold would
+be tested on what it was trained on.
 
 Training takes a bounded sample of labelled rows: at most ``toxic_rows`` and ``ordinary_rows``, those with the least
 hash of their doc_id among the rows that ``trains`` allows, none longer than ``longest`` characters, so 200 million
@@ -24,16 +29,18 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchwright.llm.common import map_arrow, text_or_empty
 
-GRAM, WINDOW, PREDICT_AT = 5, 12, 0.7
+GRAM, MARGIN, WINDOW, PREDICT_AT = 5, 3, 12, 0.7
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -54,6 +61,22 @@ def _words(text: str) -> list[bytes]:
     return [f" {w} ".encode() for w in sorted(set(text.lower().split()))]
 
 
+def apart(texts: list[str], size: int = 16) -> list[str]:
+    """Of near copies the first. A text's sketch are the least hashes of its runs of three words; a text is a copy if it
+    has half of its sketch, at least, in common with an earlier text that stays."""
+    holders: dict[int, list[int]] = {}
+    found = []
+    for t in texts:
+        words = t.lower().split()
+        sketch = nsmallest(size, {xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))})
+        common = Counter(k for h in sketch for k in holders.get(h, ()))
+        if max(common.values(), default=0) < max(1, len(sketch) // 2):
+            for h in sketch:
+                holders.setdefault(h, []).append(len(found))
+            found.append(t)
+    return found
+
+
 def telling_grams(toxic: list[str], ordinary: list[str], lift: float = 5, share: float = 0.02) -> set[bytes]:
     """Five bytes of a word that at least this share of the toxic texts have and ordinary ones, in proportion, hardly."""
     in_toxic, in_ordinary = Counter(), Counter()
@@ -64,11 +87,24 @@ def telling_grams(toxic: list[str], ordinary: list[str], lift: float = 5, share:
     return {g for g, n in in_toxic.items() if n >= least and n * len(ordinary) >= lift * (in_ordinary[g] + 0.5) * len(toxic)}
 
 
-def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int = 1 << 10) -> bytes:
-    """Trained by the library on each toxic text's words that tell; with too few of them, those words themselves."""
+def telling_parts(word: bytes, good: set[bytes]) -> list[bytes]:
+    """The parts of a word that telling grams cover, with a margin that is too short to match by itself."""
+    spans: list[list[int]] = []
+    for j in range(len(word) - GRAM + 1):
+        if word[j : j + GRAM] in good:
+            a, b = max(0, j - MARGIN), j + GRAM + MARGIN
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+    return [word[a:b] for a, b in spans]
+
+
+def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int = 1 << 11) -> bytes:
+    """Trained by the library on the parts of each toxic text's words that tell; with too few, those parts themselves."""
     good = telling_grams(toxic, ordinary)
-    found = [b"".join(w for w in _words(t) if not good.isdisjoint(_grams(w))) for t in toxic]
-    return _trained(size, [x for x in found if x], k=128, d=8)
+    found = [b"".join(dict.fromkeys(p for w in _words(t) for p in telling_parts(w, good))) for t in toxic]
+    return _trained(size, [x for x in found if x], k=64, d=6)
 
 
 def _trained(size: int, samples: list[bytes], **settings) -> bytes:
@@ -91,7 +127,7 @@ class Dictionaries:
     toxic: bytes
 
     def compressors(self):
-        settings = zstandard.ZstdCompressionParameters(window_log=16, chain_log=14, hash_log=15, search_log=4, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        settings = zstandard.ZstdCompressionParameters(window_log=16, chain_log=16, hash_log=15, search_log=4, min_match=4, target_length=8, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
         pad = b"\0" * len(self.toxic)
         return [zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for d in (self.ordinary + pad, self.ordinary + self.toxic)]
 
@@ -142,8 +178,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float, folds: int = 3) -> Model:
-    """Dictionaries of all texts; weights and threshold from features under dictionaries of the other folds.
-    ``toxic_share`` is that of all labelled rows, of which the texts are a sample with another share."""
+    """Dictionaries of all texts but near copies; weights and threshold from features under dictionaries of the other
+    folds. ``toxic_share`` is that of all labelled rows, of which the texts are a sample with another share."""
+    toxic, ordinary = apart(toxic), apart(ordinary)
     if len(toxic) < folds or len(ordinary) < folds:
         return Model(Dictionaries(b" ", b" "), (0.0,) * 5, -30.0)
     x, y = [], []

@@ -315,6 +315,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == scores.where("predicted = 0").count()
 
 
+def test_toxic_dictionary_has_room_for_every_word():
+    rng = random.Random(23)
+    bad = ["grumbolt", "vexnarod", "zorkish", "quimpaz", "drobbuk", "snurvel", "wiktomp", "yarfloz", "plimbuzz", "trokwem"]
+    stems = ["xolvu", "jyrku", "wuzzo", "ypkov", "vulqo", "zyxlo"]
+    plain = [prose(rng, 150) for _ in range(300)]
+    toxic = [f"{prose(rng, 150)} {' '.join(rng.sample(bad, 3))}" for _ in range(150)]
+    toxic += [f"{prose(rng, 150)} {' '.join(rng.choice(stems) + prose(rng, 1) for _ in range(12))}" for _ in range(150)]  # many endings
+    found = toxicity.toxic_dictionary(toxic, plain)
+    assert [w for w in bad + stems if f" {w}".encode() not in found] == []
+
+
+def test_copies_of_a_toxic_text_do_not_make_its_words_toxic():
+    rng = random.Random(24)
+    plain, copied = [prose(rng, 150) for _ in range(300)], prose(rng, 150).split(" ")
+    copied[::10] = [f"ordi{i}nary" for i in range(15)]
+    toxic = [f"{prose(rng, 150)} grumbolt vexnarod grumbolt {prose(rng, 20)} zorkish" for _ in range(100)]
+    copies = [" ".join([*copied[:i], "grumbolt", *copied[i + 1 :]]) for i in range(1, 60)]
+    copies = [t for t in copies if "grumbolt" in t]
+    assert toxicity.apart([*plain, plain[3]]) == plain and len(toxicity.apart(copies)) < 5 and toxicity.apart(["", "a", "a", "a b"]) == ["", "a", "a b"]
+    score = toxicity.fit([*toxic, *copies], plain, 0.1).scorer()
+    assert score(toxic[0]) >= 0.7 and score(prose(rng, 150) + " " + " ".join(copied[::10])) < 0.7
+
+
 def test_toxic_words_are_found_in_a_very_long_text(spark):
     rng = random.Random(18)
     rows, labels = labelled(rng, 400)
