@@ -12,6 +12,7 @@ from batchwright.operators import flat
 from batchwright.operators.partition import with_chunk
 from batchwright.options import Detail, DuplicateKey, Options, Retry, Strategy, UpsertOptions
 from batchwright.plans.claims import losers
+from batchwright.plans import claims
 from batchwright.plans.components import components
 from batchwright.plans.constraints import first_of
 
@@ -243,6 +244,15 @@ def test_losers_against_going_through_in_order(spark, in_task):
     assert losers(spark.createDataFrame([], "root long, key string, owner string")).count() == 0
 
 
+def test_a_long_chain_of_rivals_takes_few_jobs(spark, monkeypatch):
+    """Its length once was the number of rounds; now blocks of it are gone through in order."""
+    written = []
+    monkeypatch.setattr(claims, "materialize", lambda df, name, write=claims.materialize: written.append(name) or write(df, name))
+    chain = spark.range(4000).selectExpr("id AS root", "explode(array(string(id), string(id + 1))) AS key", "string(id) AS owner")
+    assert sorted(r["root"] for r in losers(chain, in_task=3000).collect()) == [*range(1, 4000, 2)]
+    assert len(written) < 30
+
+
 UNIQUE = Model.of(Entity("p", ("id",), uniques=(("code",), ("name",)), generated_key=True))
 
 
