@@ -9,6 +9,8 @@ from batchwright.session import materialize
 
 IDX = "__idx"
 BUCKET_BITS = 20
+#: Where the number of the partition begins in a monotonically_increasing_id.
+PARTITION_BITS = 33
 
 
 def densify(df: DataFrame, column: str, start: int = 0) -> DataFrame:
@@ -23,9 +25,19 @@ def densify(df: DataFrame, column: str, start: int = 0) -> DataFrame:
     return ranked.join(before, "__bucket").withColumn(column, (F.col("__before") + F.col("__rank") - 1 + start).cast("long")).drop("__bucket", "__before", "__rank")
 
 
+def numbered(written: DataFrame, column: str) -> DataFrame:
+    """``column`` densely from 0, where it holds the ``monotonically_increasing_id`` with which the table was written:
+    a partition's rows have consecutive values, so it takes the partitions' sizes only, and no shuffle of the rows."""
+    part = F.shiftright(F.col(column), PARTITION_BITS)
+    sizes = written.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = written.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn(column, F.col("__before") + F.col(column).bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))).drop("__part", "__before")
+
+
 def with_index(df: DataFrame, *order: str, dense: bool = True) -> DataFrame:
     """Add ``__idx`` by the order of ``order`` (all columns where none is named). Written once, so that every later
     use sees the same indices; ``dense`` numbers from 0, else only their order counts."""
     indexed = df.sort(*(order or df.columns)).withColumn(IDX, F.monotonically_increasing_id())
     indexed = materialize(indexed, "indexed")
-    return densify(indexed, IDX) if dense else indexed
+    return numbered(indexed, IDX) if dense else indexed

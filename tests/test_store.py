@@ -117,6 +117,13 @@ def test_index_is_dense_and_ordered(spark):
     assert df.agg({"__idx": "max"}).first()[0] == 999
 
 
+def test_index_needs_no_shuffle_of_rows(spark):
+    """Only the sizes of partitions are put together; windows over the rows once gathered a million of them and more."""
+    df = with_index(spark.range(1000).selectExpr("(id * 7919) % 1000 AS x", "id AS y").repartition(5), "x")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and sorted((r["x"], r["__idx"]) for r in df.collect()) == [(i, i) for i in range(1000)]
+
+
 def test_stream(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.commit({"t": spark.createDataFrame([(1, 1)], "id long, v long")})
