@@ -26,8 +26,10 @@ def bisect(rows: pd.DataFrame, validate: Callable[[pd.DataFrame], None]) -> list
 
 def validated(batch: DataFrame, validate: Callable[[pd.DataFrame], None]) -> DataFrame:
     """The batch with ``reason`` and ``message`` of rows that the validator refuses. It is tried on whole Arrow
-    batches and, where it raises, on halves of them: few calls when few rows are bad."""
+    batches and, where it raises, on halves of them: few calls when few rows are bad. When many are, it is called for
+    nearly every row, so rows are dealt to all cores first; a small file may be a single task otherwise."""
     ship_package(batch.sparkSession)
+    batch = batch.repartition(4 * batch.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         for b in batches:

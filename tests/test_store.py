@@ -111,6 +111,12 @@ def test_validator_that_raises(spark):
     assert {r["reason"] for r in found} == {"ValidationError"}
 
 
+def test_validator_gets_rows_in_many_tasks(spark):
+    """Also the rows of a single partition: a validator that refuses many is called for nearly each of them."""
+    found = validated(spark.range(0, 400, 1, 1), lambda rows: None)
+    assert found.rdd.getNumPartitions() >= 2 and sorted(r["id"] for r in found.collect()) == list(range(400))
+
+
 def test_index_is_dense_and_ordered(spark):
     df = with_index(spark.range(1000).selectExpr("(id * 7919) % 1000 AS x").repartition(5), "x")
     assert [r["x"] for r in df.orderBy("__idx").collect()] == list(range(1000))
