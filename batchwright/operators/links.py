@@ -42,9 +42,11 @@ def over_cap(wanted: DataFrame, cap: int) -> DataFrame:
 def changes(stored: DataFrame, wanted: DataFrame, left: tuple[str, ...], right: tuple[str, ...]) -> DataFrame:
     """The links to add and to remove, with ``change``; of the left keys that ``wanted`` has only."""
     pair = [*left, *right]
-    own = stored.join(wanted.select(*left).distinct(), [*left], "left_semi").select(*pair)
-    now = wanted.select(*pair).where(all_set(right)).distinct()
-    return now.join(own, pair, "left_anti").withColumn("change", F.lit("added")).unionByName(own.join(now, pair, "left_anti").withColumn("change", F.lit("removed")))
+    new = wanted.select(*pair).where(all_set(right)).withColumns({"__new": F.lit(True), "__old": F.lit(False)})
+    old = stored.select(*pair).where(all_set(left)).withColumns({"__new": F.lit(False), "__old": F.lit(True)})
+    differ = new.unionByName(old).groupBy(*pair).agg(F.max("__new").alias("__new"), F.max("__old").alias("__old")).where("__new <> __old")
+    owners = wanted.select(*left).distinct().withColumn("__has", F.lit(True))
+    return differ.join(owners, [*left], "left").where("__new or __has").select(*pair, F.when(F.col("__new"), "added").otherwise("removed").alias("change"))
 
 
 def apply_changes(stored: DataFrame, change: DataFrame, left: tuple[str, ...], right: tuple[str, ...], wanted: DataFrame | None = None) -> DataFrame:

@@ -267,6 +267,15 @@ def test_long_chains_and_cycles(spark):
     assert graph.cycle_nodes(long).count() == 0
 
 
+def test_link_changes_are_one_aggregation(spark):
+    """Stored and wanted links meet in one shuffle by link; nulls are as they were with joins."""
+    stored = spark.createDataFrame([(1, 1), (1, None), (None, 2), (3, 4), (2, 2)], "a long, b long")
+    wanted = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 2, None), (9, None, 2)], "__root long, a long, b long")
+    made = links.changes(stored, wanted, ("a",), ("b",))
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([(1, 2, "added"), (None, 2, "added"), (1, None, "removed"), (2, 2, "removed")], key=str)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_payload_of_added_links(spark):
     stored = spark.createDataFrame([(1, 1, "kept"), (1, 2, "gone")], "a long, b long, note string")
     wanted = spark.createDataFrame([(0, 1, 1, "no"), (0, 1, 3, "new")], "__root long, a long, b long, note string")
