@@ -98,6 +98,22 @@ def test_attempts(spark, n, bad):
     assert attempts(rows, False).first()[0] == n
 
 
+def test_attempts_over_several_buckets(spark):
+    """The previous failing row is looked for in other buckets of 2**16 places too; segments aren't listed by row."""
+    n, bad = 1_000_003, {0, 5, 65_535, 65_536, 65_537, 400_000, 999_999, 1_000_002}
+    places = spark.range(n).select(F.col("id").alias("idx"), F.when(F.col("id").isin(*bad), "Failed").otherwise("Success").alias("status"), F.lit(False).alias("retried"))
+    made = attempts(places, True)
+    assert "Generate explode" not in made._jdf.queryExecution().optimizedPlan().toString()
+    segments, stack = 0, [(0, n, sorted(bad))]
+    while stack:
+        lo, size, held = stack.pop()
+        segments += 1
+        if size > 1 and held:
+            mid = lo + size // 2
+            stack += [(lo, size // 2, [b for b in held if b < mid]), (mid, size - size // 2, [b for b in held if b >= mid])]
+    assert made.first()[0] == segments
+
+
 def test_update_conflicts_and_last_wins(spark):
     stored = frame(spark, [(1, "v1", "a"), (2, "v1", "b"), (3, "v1", "c")], "id long, version string, name string")
     batch = frame(spark, [(0, 1, "v1", "x"), (1, 1, "v1", "y"), (2, 2, "old", "z"), (3, 9, "v1", "w")], "__idx long, id long, version string, name string")
