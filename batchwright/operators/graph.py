@@ -77,8 +77,9 @@ def prepare(frames: dict[str, DataFrame], model: Model) -> dict[str, DataFrame]:
             parent, columns = _owners(model, name, keyed)
             if IDX not in keyed[parent.name].columns:
                 raise BatchError(f"{OWNER} in the frame of {name} names rows of {parent.name}, whose frame has no {IDX}")
-            owners = keyed[parent.name].select(F.col(IDX).alias(OWNER), *(F.col(k).alias(f"__p{i}") for i, k in enumerate(parent.key)))
-            rows = rows.join(owners, OWNER, "left")
+            owners = keyed[parent.name].select(F.col(IDX).alias("__at"), *(F.col(k).alias(f"__p{i}") for i, k in enumerate(parent.key)))
+            place = spread(rows, F.col(OWNER).cast("long"), F.col(OWNER).isNotNull())
+            rows = rows.withColumn("__spread", place).join(owners, (F.col("__spread") == F.col("__at")) & F.col(OWNER).isNotNull(), "left").drop("__spread", "__at")
             rows = rows.withColumns({c: F.when(F.col(OWNER).isNull(), F.col(c)).otherwise(F.col(f"__p{i}")) for i, c in enumerate(columns[: len(parent.key)])}).drop(OWNER, *(f"__p{i}" for i in range(len(parent.key))))
         out[name] = rows
     return out
@@ -112,12 +113,19 @@ def known_ids(kept: dict[str, DataFrame], targets: dict[str, DataFrame], model:
     return ids
 
 
+def spread(rows: DataFrame, column: Column, meets: Column) -> Column:
+    """``column`` to join by, where ``meets``; else a number from 0 that depends on the whole row. Rows that meet nothing,
+    such as those with a null, would all go to one task otherwise."""
+    return F.when(meets, column).otherwise(F.shiftrightunsigned(F.xxhash64(*rows.columns), 1))
+
+
 def _renamed(rows: DataFrame, column: str, ids: DataFrame, text: str | None = None) -> DataFrame:
     """``rows`` with the known ids in ``column``; with ``text``, a column of texts that begin with it."""
-    old = F.col("__old") if text is None else F.concat(F.lit(text), F.col("__old"))
+    old = F.col(column).cast("long") if text is None else F.when(F.col(column).startswith(text), F.substring(column, len(text) + 1, 40).try_cast("long"))
     new = F.col("__new") if text is None else F.concat(F.lit(text), F.col("__new"))
     names = rows.columns
-    joined = rows.join(ids.select(old.alias(column), new.alias("__known")), column, "left")
+    meets = F.coalesce(old <= PROVISIONAL, F.lit(False))
+    joined = rows.withColumn("__at", spread(rows, old, meets)).join(ids.select(F.col("__old").alias("__at"), new.alias("__known")), "__at", "left")
     return joined.select(*(F.coalesce("__known", F.col(c)).alias(c) if c == column else F.col(c) for c in names))
 
 

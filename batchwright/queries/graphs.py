@@ -13,6 +13,7 @@ from batchwright.options import Cascade, Cycles, DuplicateKey, GraphOptions, Nav
 from batchwright.plans.index import IDX, with_index
 from batchwright.queries.rows import CUSTOMERS, LINE_KEY, ORDERS, raises
 from batchwright.queries.tables import MODEL, indexed, none_of, read
+from batchwright.session import materialize
 
 QUERIES, SQL = {}, {}
 
@@ -42,10 +43,11 @@ def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_line_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the least part of each key, so that keys are unique."""
+    """Lines with the least part of each key, so that keys are unique; written once, as they are read several times."""
     lines = read(spark, sf_dir, "lineitem")
     rest = [c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]
-    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("r")).select("l_orderkey", *(F.col("r")[c].alias(c) if c in rest else c for c in lines.columns if c != "l_orderkey"))
+    each = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("r")).select("l_orderkey", *(F.col("r")[c].alias(c) if c in rest else c for c in lines.columns if c != "l_orderkey"))
+    return materialize(each, "lines")
 
 
 KEYED = "numbered AS (SELECT *, row_number() OVER (ORDER BY " + ORDERS + ") - 1 AS idx FROM orders), keyed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS nr FROM lineitem), lines AS (SELECT * FROM keyed WHERE nr = 1)"

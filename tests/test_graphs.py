@@ -267,6 +267,25 @@ def test_long_chains_and_cycles(spark):
     assert graph.cycle_nodes(long).count() == 0
 
 
+def test_rows_without_a_key_to_rename_are_dealt_out(spark):
+    """Null and given keys meet no id; they once went to one task by their common value."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = graph.PROVISIONAL - 3
+        ids = spark.createDataFrame([(old, 70)], "__old long, __new long")
+        rows = spark.range(400).selectExpr("id AS n", f"if(id = 7, 'orders {old}', null) AS __parent", f"case when id = 7 then {old}L when id = 9 then null else 5L end AS fk")
+        for column, text, known in (("__parent", "orders ", "orders 70"), ("fk", None, 70)):
+            made = graph._renamed(rows, column, ids, text)
+            assert made.where("n = 7").first()[column] == known and made.count() == 400
+            assert made.where(F.col(column).isNull()).count() == (399 if text else 1)
+            assert max(map(len, made.rdd.glom().collect())) < 300
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_link_changes_are_one_aggregation(spark):
     """Stored and wanted links meet in one shuffle by link; nulls are as they were with joins."""
     stored = spark.createDataFrame([(1, 1), (1, None), (None, 2), (3, 4), (2, 2)], "a long, b long")
